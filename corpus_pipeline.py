@@ -20,7 +20,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return quality.keep_good(docs, quality.fit(shared.materialize(quality.measured(docs), "measured"), spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1 @@
+"""A search and aggregation engine on Spark DataFrames."""

@@ -13,21 +13,27 @@ import re
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Parts that a worker remembers before it forgets all.
-MOST = 600_000
+#: Parts that a worker remembers before it forgets all; about 200 bytes each.
+MOST = 1_000_000
+
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = "[!-&(-/:-@|]*"
 
 
 class _Bpe:
+    """``cache`` has the ids of parts by their keys; what a key stands for is up to the vocabulary."""
+
     _made: dict[tuple, _Bpe] = {}
+    plain: re.Pattern
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.cache: dict[str, bytes] = {}
-        self.begins: np.ndarray | None = None
         added = {str(t.content): i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = re.compile("|".join(map(re.escape, added)), re.I)
         self.mark = max(added.items(), key=lambda x: x[1])
+        self.edge: np.ndarray | None = None
 
     @classmethod
     def of(cls, path: str):
@@ -39,31 +45,62 @@ class _Bpe:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ids_of_parts(self, parts: list[str]) -> list[bytes]:
-        """As ``_ids``, of many short parts in few calls.  Parts that ``joined``
-        knows how to tell apart stand in one text; between others stands a
-        special token, which no part contains."""
-        plain, sizes, odd = self.joined(parts)
-        done = dict(zip(plain, self._split(self.glue.join(plain), sizes), strict=True)) if plain else {}
-        if odd:
-            mark, mark_id = self.mark
-            ids = np.array(self.tok.encode_batch_fast([mark.join(odd)], add_special_tokens=False)[0].ids, "<u4")
-            at = np.flatnonzero(ids == mark_id)
-            done.update(zip(odd, _pieces(ids, at, at + 1) if len(at) == len(odd) - 1 else self._ids(odd), strict=True))
-        return [done[p] for p in parts]
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _tokens_where(self, test) -> np.ndarray:
+        vocab = self.tok.get_vocab(True)
+        out = np.zeros(max(vocab.values()) + 1, bool)
+        out[[i for t, i in vocab.items() if test(t)]] = True
+        return out
+
+    def _many(self, texts: list[str]) -> list[bytes]:
+        """Ids of any short parts, encoded as one text with a special token between
+        them, which none of them contains."""
+        ids = self._one(self.mark[0].join(texts))
+        at = np.flatnonzero(ids == self.mark[1])
+        return _pieces(ids, at, at + 1) if len(at) == len(texts) - 1 else self._ids(texts)
+
+    def _learn(self, keys: list[str]) -> None:
+        """Put the ids of new parts into the cache.  Letters with marks behind them are
+        two parts to the library; the letters are encoded once for all their marks."""
+        cache = self.cache
+        halves, letters, odd = [], set(), set()
+        for k in keys:
+            if m := self.plain.fullmatch(k):
+                a, b = self.form(m[1]), m[2]
+                if a not in cache:
+                    letters.add(a)
+                if b:
+                    b = self.tail(b)
+                    if b not in cache:
+                        odd.add(b)
+                halves.append((k, a, b))
+            else:
+                odd.add(k)
+        for i in range(0, len(odd), 4096):
+            part = list(odd)[i : i + 4096]
+            cache.update(zip(part, self._many([self.text(k) for k in part]), strict=True))
+        self._learn_letters(list(letters))
+        for k, a, b in halves:
+            cache[k] = cache[a] + cache[b] if b else cache[a]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; null is empty."""
+        get = self.cache.get
         parts = [self.cut(t) if t else [] for t in texts]
-        cache = self.cache
-        new = list({p for ps in parts if ps for p in ps if p not in cache})
-        if len(cache) + len(new) > MOST:
-            cache.clear()
-            new = list({p for ps in parts if ps for p in ps})
-        for i in range(0, len(new), 1024):
-            cache.update(zip(new[i : i + 1024], self._ids_of_parts(new[i : i + 1024]), strict=True))
-        get = cache.__getitem__
-        return [self._ids([t])[0] if ps is None else b"".join(map(get, ps)) for t, ps in zip(texts, parts, strict=True)]
+        found = [None if ps is None else list(map(get, ps)) for ps in parts]
+        new = {p for ps, fs in zip(parts, found, strict=True) if fs and None in fs for p, f in zip(ps, fs, strict=True) if f is None}
+        if new:
+            if len(self.cache) > MOST:
+                self.cache.clear()
+            self._learn(list(new))
+            for ps, fs in zip(parts, found, strict=True):
+                if fs and None in fs:
+                    for i, f in enumerate(fs):
+                        if f is None:
+                            fs[i] = get(ps[i])
+        return [self._ids([t])[0] if fs is None else b"".join(fs) for t, fs in zip(texts, found, strict=True)]
 
 
 def _pieces(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes]:
@@ -72,67 +109,70 @@ def _pieces(ids: np.ndarray, ends: np.ndarray, starts: np.ndarray) -> list[bytes
 
 
 class ByteBpe(_Bpe):
-    """For the byte-level vocabulary.  Its pattern takes one space with the word
-    that follows, so a text may be cut before a single space between two
-    characters that are not white space."""
+    r"""For the byte-level vocabulary.  Its pattern takes one space with the word
+    that follows, and a newline between two characters that are not white space
+    stands alone.  So a text is cut before such single spaces and around such
+    single newlines.
+
+    Keys: ``w`` is a word behind a space, ``\x02w`` one without, ``\x03x`` any text x.
+    """
 
-    glue = ""
-    _odd = re.compile(r"[^\S \n]|  | \n|\n | $|^ ")
+    plain = re.compile(f"(\x02?{_LETTERS})({_MARKS})")
+    _odd = re.compile("[\x00-\x09\x0b-\x1f\x7f-\xa0  -     　]")
     _cut = re.compile(r"(?<=\S)(?= \S)")
 
+    @staticmethod
+    def form(letters: str) -> str:
+        return letters
+
+    @staticmethod
+    def tail(marks: str) -> str:
+        return "\x03" + marks
+
+    @staticmethod
+    def text(key: str) -> str:
+        return key[1:] if key[0] in "\x02\x03" else key if key == "\n" else " " + key
+
     def cut(self, text: str) -> list[str] | None:
         if "<|" in text and self.special.search(text):
             return None
-        if self._odd.search(text):
-            return self._cut.split(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + p for p in rest)]
-
-    def joined(self, parts):
-        """Parts that begin with their only space: each starts a token with a space."""
-        plain, odd = [], []
-        for p in parts:
-            (plain if p[:1] == " " and p.count(" ") == 1 and p.rstrip() == p and not p[1:2].isspace() else odd).append(p)
-        return plain, None, odd
-
-    def _split(self, text, _sizes):
-        if self.begins is None:
-            vocab = self.tok.get_vocab(True)
-            self.begins = np.zeros(max(vocab.values()) + 1, bool)
-            self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.begins[ids])[1:]
-        return _pieces(ids, at, at)
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or self._odd.search(text):
+            return ["\x03" + p for p in self._cut.split(text)]
+        return ("\x02" + text.replace("\n", " \n \x02")).split(" ")
+
+    def _learn_letters(self, keys: list[str]) -> None:
+        if self.edge is None:
+            self.edge = self._tokens_where(lambda t: t.startswith("Ġ"))
+        behind = [k for k in keys if k[0] != "\x02"]
+        if behind:  # only the first token of a word begins with a space
+            ids = self._one(" " + " ".join(behind))
+            at = np.flatnonzero(self.edge[ids])[1:]
+            self.cache.update(zip(behind, _pieces(ids, at, at), strict=True))
+        first = [k for k in keys if k[0] == "\x02"]
+        if first:  # a newline between two words is a token of its own
+            ids = self._one("\n".join(k[1:] for k in first))
+            at = np.flatnonzero(ids == self.tok.token_to_id("Ċ"))
+            self.cache.update(zip(first, _pieces(ids, at, at + 1), strict=True))
 
 
 class WordBpe(_Bpe):
-    """For the vocabulary with word ends, which drops white space: a text may be
-    cut at any ASCII space or newline."""
-
-    glue = " "
-    _plain = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+([!-&(-/:-@|]*)")
-
-    def joined(self, parts):
-        """Letters, and letters with marks behind them: one and two word ends."""
-        plain, sizes, odd = [], [], []
-        for p in parts:
-            if m := self._plain.fullmatch(p):
-                plain.append(p)
-                sizes.append(2 if m[1] else 1)
-            else:
-                odd.append(p)
-        return plain, sizes, odd
-
-    def _split(self, text, sizes):
-        if self.begins is None:
-            vocab = self.tok.get_vocab(True)
-            self.begins = np.zeros(max(vocab.values()) + 1, bool)
-            self.begins[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        ids = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        at = np.flatnonzero(self.begins[ids])[np.cumsum(sizes) - 1][:-1] + 1
-        return _pieces(ids, at, at)
+    """For the vocabulary with word ends, which drops white space and case: a text
+    may be cut at any ASCII space or newline.  Keys are the parts themselves."""
+
+    plain = re.compile(f"({_LETTERS})({_MARKS})")
+    form = staticmethod(str.lower)
+    tail = text = staticmethod(lambda part: part)
 
     def cut(self, text: str) -> list[str] | None:
         if "<|" in text and self.special.search(text):
             return None
         return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+    def _learn_letters(self, keys: list[str]) -> None:
+        if not keys:
+            return
+        if self.edge is None:
+            self.edge = self._tokens_where(lambda t: t.endswith("</w>"))
+        ids = self._one(" ".join(keys))  # only the last token of a word is a word end
+        at = np.flatnonzero(self.edge[ids])[:-1] + 1
+        self.cache.update(zip(keys, _pieces(ids, at, at), strict=True))

@@ -7,14 +7,20 @@ Documents with identical sets are folded into one first.  Registers of the
 others, with empty buckets filled from other buckets by a fixed random order,
 are cut into bands; documents that share a band meet that band's member with
 the smallest id.  The Jaccard similarity of such a pair is estimated from the
-registers, corrected for chance collisions of registers, and pairs within five
-standard errors of the threshold are confirmed on the full shingle sets.
+registers, corrected for chance collisions of registers; pairs that can be close
+are then confirmed on the full shingle sets.
 
-Links make components.  Where a band then still holds members of several
-components, the remaining pairs across components in that band are estimated
-and confirmed too, in blocks: the members outside the band's largest component
-against all of its members.  So no pair that shares a band is lost, and the
-work inside a large group of copies stays linear.
+What is kept of a pair is its exact difference: the shingles that one has and the
+other lacks.  Members that met the same hub are compared through it,
+
+    |A & B| = |H| - |(H - A) | (H - B)| + |(A - H) & (B - H)|,
+
+which is exact and needs the short differences only, so that members of different
+components are confirmed against each other without their texts and only links
+leave the task.  Members of a band that are not close to its hub get further hubs
+among themselves; what is left after ``rounds`` of them is compared member by
+member.  So no pair that shares a band is lost, and the rows that a large group of
+copies makes stay in proportion to its size.
 
 Sets so small that one further shingle brings the similarity under the threshold
 link with equal sets only and need no bands.  From 0.85 on there are 25 bands of
@@ -42,7 +48,10 @@ from . import text as T
 from .components import components
 
 M, MANTISSA = 128, 10
-BLOCK = 1024
+BLOCK, ROUNDS = 1024, 4
+#: Pairs of at least this similarity keep their difference.  A member that is closer to
+#: its hub by the distance of a link cannot link with one that is further off than this.
+CLOSE = 0.45
 
 SIGNATURE = "doc_id long, n_shingles long, digest binary, registers binary"
 
@@ -128,9 +137,10 @@ def estimate(a: np.ndarray, b: np.ndarray, mantissa: int = MANTISSA) -> tuple[np
     return np.clip((j - chance) / (1 - chance), 0, 1), some
 
 
-def may_link(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+def may_reach(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the estimate is within five standard errors of the similarity, or above."""
     j, n = estimate(a, b)
-    return j >= threshold - 5 * np.sqrt(threshold * (1 - threshold) / np.maximum(n, 1))
+    return j >= similarity - 5 * np.sqrt(similarity * (1 - similarity) / np.maximum(n, 1))
 
 
 def signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
@@ -154,21 +164,32 @@ def _reg(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets satisfy 100 * intersection >= percent * union."""
+COMPARED = "a long, b long, na long, both long, minus binary, plus binary"
+
+
+def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """The pairs with the size of a's set, of the intersection, and their differences
+    a - b and b - a on full sets."""
 
     def work(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 x, y = shingle_sets(part.column(2), k), shingle_sets(part.column(3), k)
-                both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)])
-                either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)]) - both
-                yield part.select([0, 1]).filter(pa.array(100 * both >= percent * either))
-
-    t = texts
-    full = pairs.join(t.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(work, "a long, b long")
+                minus, plus = [], []
+                for p, q in zip(x, y, strict=True):
+                    minus.append(np.setdiff1d(p, q, assume_unique=True))
+                    plus.append(np.setdiff1d(q, p, assume_unique=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0), part.column(1), pa.array([len(p) for p in x], pa.int64()), pa.array([len(p) - len(m) for p, m in zip(x, minus, strict=True)], pa.int64()),
+                        pa.array([m.tobytes() for m in minus], pa.binary()), pa.array([q.tobytes() for q in plus], pa.binary()),
+                    ],
+                    names=["a", "b", "na", "both", "minus", "plus"],
+                )
+
+    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return full.select("a", "b", "ta", "tb").mapInArrow(work, COMPARED)
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -177,57 +198,108 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     def work(batches):
         for b in batches:
             if b.num_rows:
-                yield b.select([0, 1]).filter(pa.array(may_link(_reg(b.column(2)), _reg(b.column(3)), threshold)))
+                yield b.select([0, 1]).filter(pa.array(may_reach(_reg(b.column(2)), _reg(b.column(3)), threshold)))
 
     r = reps.select(F.col("rep"), F.col("registers"))
     full = pairs.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b")
     return full.select("a", "b", "ra", "rb").mapInArrow(work, "a long, b long")
 
 
-def _across(threshold: float):
+class _Group:
+    """Members of one hub in one block, and the counts that pairs of them share."""
+
+    def __init__(self, minus: list[np.ndarray], plus: list[np.ndarray]):
+        self.n = len(minus)
+        self.sizes = [np.array([len(x) for x in v]) for v in (minus, plus)]
+        self.index = []
+        for v in (minus, plus):
+            owner = np.repeat(np.arange(self.n), [len(x) for x in v])
+            values = np.concatenate([*v, np.empty(0, T.U64)])
+            order = np.argsort(values, kind="stable")
+            self.index.append((values[order], owner[order]))
+
+    def shared(self, which: int, values: np.ndarray) -> np.ndarray:
+        keys, owner = self.index[which]
+        lo, hi = np.searchsorted(keys, values), np.searchsorted(keys, values, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(owner[at], minlength=self.n)
+
+    def both(self, hub: int, minus: np.ndarray, plus: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the intersections and unions with all members of the block."""
+        gone = self.sizes[0] + len(minus) - self.shared(0, minus)
+        both = hub - gone + self.shared(1, plus)
+        sizes = hub - self.sizes[0] + self.sizes[1]
+        return both, sizes + hub - len(minus) + len(plus) - both
+
+
+def _hashes(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, T.U64) for x in column.to_pylist()]
+
+
+def _through_hub(percent: int):
+    def work(table: pa.Table) -> pa.Table:
+        """Links between the left members of a block and its right ones in other components,
+        one for each pair of components."""
+        role, rep, comp, na = (table.column(c).to_numpy() for c in ("role", "b", "component", "na"))
+        minus, plus = _hashes(table.column("minus")), _hashes(table.column("plus"))
+        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        if len(left) and len(right):
+            group = _Group([minus[i] for i in right], [plus[i] for i in right])
+            for i in left:
+                both, either = group.both(int(na[i]), minus[i], plus[i])
+                for j in right[(100 * both >= percent * either) & (comp[right] != comp[i])]:
+                    found.setdefault((min(comp[i], comp[j]), max(comp[i], comp[j])), (rep[i], rep[j]))
+        return pa.table([pa.array([p[0] for p in found.values()], pa.int64()), pa.array([p[1] for p in found.values()], pa.int64())], names=["a", "b"])
+
+    return work
+
+
+def _one_by_one(threshold: float):
     def work(table: pa.Table) -> pa.Table:
-        """Pairs between odd members and all others of a block that lie in different components."""
-        reg, comp, rep = _reg(table.column("registers").combine_chunks()), table.column("component").to_numpy(), table.column("rep").to_numpy()
-        odd = table.column("role").to_numpy()
-        left, right = np.flatnonzero(odd != 1), np.flatnonzero(odd != 0)
+        """Pairs between left and right members of a block that the registers do not rule out."""
+        reg, rep, role = _reg(table.column("registers").combine_chunks()), table.column("b").to_numpy(), table.column("role").to_numpy()
+        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         found: set[tuple[int, int]] = set()
         for i in left:
-            other = right[comp[right] != comp[i]]
-            if len(other):
-                for j in other[may_link(reg[i][None, :], reg[other], threshold)]:
-                    found.add((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            for j in right[may_reach(reg[i][None, :], reg[right], threshold) & (rep[right] > rep[i])]:
+                found.add((rep[i], rep[j]))
         pairs = sorted(found)
         return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return work
 
 
-def remaining(members: DataFrame, comps: DataFrame, reps: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """Pairs across components that share a band, not ruled out by the registers.
-
-    Members of a band outside its largest component ("odd") are cut into blocks,
-    and so are all its members; every odd block meets every block.
-    """
-    m = members.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    by = m.groupBy("key", "component").agg(F.count("*").alias("n"))
-    band = by.groupBy("key").agg(F.max_by("component", "n").alias("main"), F.count("*").alias("comps"), F.sum("n").alias("all"), F.max("n").alias("most")).where("comps > 1")
-    m = m.join(band, "key").join(reps.select("rep", "registers"), "rep")
-    odd_blocks = F.ceil((F.col("all") - F.col("most")) / block)
-    all_blocks = F.ceil(F.col("all") / block)
-    rows = m.select(
-        "key", "rep", "component", "registers",
-        F.pmod(F.xxhash64("rep"), odd_blocks).alias("i"), F.pmod(F.xxhash64("rep", F.lit(1)), all_blocks).alias("j"),
-        odd_blocks.alias("ni"), all_blocks.alias("nj"), (F.col("component") != F.col("main")).alias("is_odd"),
-    )
-    left = rows.where("is_odd").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1))).withColumn("role", F.lit(0))
-    right = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1))).withColumn("role", F.lit(1))
-    cols = ["key", "i", "j", "rep", "component", "registers", "role"]
-    return left.select(cols).unionByName(right.select(cols)).groupBy("key", "i", "j").applyInArrow(_across(threshold), "a long, b long").distinct()
-
-
-def links(documents: DataFrame, k: int = 5, percent: int = 80):
-    """Signatures, representatives of equal sets and the components of representatives."""
+def in_blocks(rows: DataFrame, group: str, left: DataFrame, work, block: int = BLOCK) -> DataFrame:
+    """Every left row of a group against all its rows, in blocks of about ``block`` rows."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("nj"))
+    firsts = left.groupBy(group).agg(F.ceil(F.count("*") / block).alias("ni"))
+    n = sizes.join(firsts, group)
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = left.join(n, group).withColumn("i", F.pmod(F.xxhash64("b"), F.col("ni"))).withColumn("j", every("nj")).withColumn("role", F.lit(0))
+    b = rows.join(n, group).withColumn("j", F.pmod(F.xxhash64("b"), F.col("nj"))).withColumn("i", every("ni")).withColumn("role", F.lit(1))
+    cols = [*rows.columns, "i", "j", "role"]
+    return a.select(cols).unionByName(b.select(cols)).groupBy(group, "i", "j").applyInArrow(work, "a long, b long")
+
+
+def through_hubs(met: DataFrame, comps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between members of the same hub in different components.  The members
+    outside the hub's largest component are compared with all of them."""
+    of = comps.select(F.col("node").alias("b"), "component")
+    hubs = met.select("a", F.col("a").alias("b"), "na", F.lit(b"").alias("minus"), F.lit(b"").alias("plus")).dropDuplicates(["a"])
+    m = met.select("a", "b", "na", "minus", "plus").unionByName(hubs).join(of, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    by = m.groupBy("a", "component").agg(F.count("*").alias("n"))
+    main = by.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    m = shared.materialize(m.join(main.select("a", "main"), "a").select("a", "b", "na", "minus", "plus", "component", "main"), "hub_members")
+    rows = m.drop("main")
+    return in_blocks(rows, "a", m.where("component <> main").drop("main"), _through_hub(percent), block).distinct()
+
+
+def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS):
+    """Signatures, representatives of equal sets, links and components of representatives."""
     threshold = percent / 100
+    close = min(CLOSE, threshold)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = shared.materialize(signatures(docs, k, percent), "signatures")
     named = sig.where("doc_id is not null and digest is not null")
@@ -244,19 +316,36 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]), pa.int64())], names=["key", "rep"])
 
     keyed = reps.mapInArrow(bands, "key long, rep long")
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
-    members = shared.materialize(keyed.join(hubs, "key").select("key", "rep", "hub"), "members")
-    first = shared.materialize(estimated(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), reps, threshold), "candidates")
-    texts = docs.join(first.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    edges = shared.materialize(confirmed(first, texts, k, percent), "links")
+    met, links_ = None, F.col("both") * 100 >= percent * (F.col("na") + F.octet_length("plus") / 8)
+    for n in range(rounds):
+        hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+        members = shared.materialize(keyed.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub"), "members")
+        pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+        if met is not None:
+            pairs = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = shared.materialize(estimated(pairs, reps, close), "candidates")
+        if n == 0 or not pairs.isEmpty():
+            texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+            new = shared.materialize(compared(pairs, texts, k), "compared")
+            met = new if met is None else met.unionByName(new)
+        # Close to its hub by more than the distance of a link: settled in this band.
+        settled = met.where(F.col("both") >= (close + 1 - threshold) * (F.col("na") + F.octet_length("plus") / 8)).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
+        keyed = shared.materialize(members.join(settled, ["hub", "rep"], "left_anti").select("key", "rep"), "unsettled")
+        if keyed.isEmpty():
+            break
+    edges = met.where(links_).select("a", "b")
     comps = components(edges)
-    more = shared.materialize(remaining(members, comps, reps, threshold).join(first, ["a", "b"], "left_anti"), "more_candidates")
-    if not more.isEmpty():
-        texts = docs.join(more.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        found = shared.materialize(confirmed(more, texts, k, percent), "more_links")
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            comps = components(edges)
+    found = through_hubs(met, comps, percent)
+    left = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
+    rest = left.select("key", F.col("rep").alias("b")).join(reps.select(F.col("rep").alias("b"), "registers"), "b").select("key", "b", "registers")
+    pairs = shared.materialize(in_blocks(rest, "key", rest, _one_by_one(threshold)).distinct(), "rest")
+    if not pairs.isEmpty():
+        texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        found = found.unionByName(compared(pairs, texts, k).where(links_).select("a", "b"))
+    found = shared.materialize(found, "more_links")
+    if not found.isEmpty():
+        edges = edges.unionByName(found)
+        comps = components(edges)
     return sig, by_digest, edges, comps
 
 

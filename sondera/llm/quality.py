@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as T
 
 MAX_FIT_ROWS, BAD_SHARE, TREES, SAMPLE, BINS, SEED = 20_000, 0.05, 200, 128, 2000, 11
@@ -153,26 +154,28 @@ class Model:
         return passed & (score <= self.threshold), score
 
 
-def _labelled(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, quality, features) of the labelled documents that pass the base rules."""
+def measured(documents: DataFrame) -> DataFrame:
+    """Per document: doc_id, the five counts and x, the forest's statistics; no text."""
 
     def work(batches):
         for b in batches:
             counts, feats = statistics(b.column(1))
-            ok = ~base_failed(counts)
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(list(feats), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-            yield out.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, c], pa.int64()) for c in range(5)), pa.array(list(feats), pa.list_(pa.float64()))], names=["doc_id", *COUNTS, "x"])
 
-    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("long").alias("quality")).where("_id is not null and quality is not null").dropDuplicates(["_id"])
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(lab, docs["doc_id"] == lab["_id"]).select("doc_id", "text", "quality").mapInArrow(work, "doc_id long, quality long, x array<double>")
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>"
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, good_kept: float = GOOD_KEPT, trees: int = TREES, sample: int = SAMPLE) -> Model:
-    """Forest from a bounded sample of labelled rows, threshold from all of them."""
-    from . import shared
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, quality, x) of the labelled documents that pass the base rules."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("long").alias("quality")).where("_id is not null and quality is not null").dropDuplicates(["_id"])
+    passed = rows.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").select("doc_id", "x")
+    return passed.join(lab, passed["doc_id"] == lab["_id"]).select("doc_id", "quality", "x")
+
 
-    rows = shared.materialize(_labelled(documents, labels), "labelled")
+def fit(rows: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, good_kept: float = GOOD_KEPT, trees: int = TREES, sample: int = SAMPLE) -> Model:
+    """Forest from a bounded sample of the labelled of the ``measured`` rows, threshold from all of them."""
+    rows = shared.materialize(_labelled(rows, labels), "labelled")
     by_hash = rows.orderBy(F.xxhash64("doc_id"), "doc_id")
     good = [r[0] for r in by_hash.where("quality > 0").limit(max_fit_rows - int(BAD_SHARE * max_fit_rows)).select("x").collect()]
     bad = [r[0] for r in by_hash.where("quality <= 0").limit(max(4, int(BAD_SHARE * len(good)))).select("x").collect()]
@@ -208,21 +211,20 @@ def threshold(counts: np.ndarray, good_kept: float) -> float:
     return float(best[len(best) // 2]) / BINS
 
 
-def judge(documents: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, the five counts, base_failed, kept, score."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+def judge(rows: DataFrame, model: Model) -> DataFrame:
+    """Per ``measured`` row: doc_id, the five counts, base_failed, kept, score."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
 
     def work(batches):
         for b in batches:
-            counts, feats = statistics(b.column(1))
-            kept, score = held.value.verdict(counts, feats)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(counts[:, c], pa.int64()) for c in range(5)), pa.array(base_failed(counts)), pa.array(kept), pa.array(score)],
-                names=["doc_id", *COUNTS, "base_failed", "kept", "score"],
-            )
+            if b.num_rows:
+                counts = np.stack([b.column(c).to_numpy() for c in COUNTS], axis=1)
+                feats = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
+                kept, score = held.value.verdict(counts, feats)
+                yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(base_failed(counts)), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
+    return rows.select("doc_id", *COUNTS, "x").mapInArrow(work, schema)
 
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:

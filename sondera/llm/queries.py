@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, htmltext, linededup, neardup, packing, quality, secrets, tokenstore, warc, wordpieces
+from . import decontaminate, htmltext, linededup, neardup, packing, quality, secrets, shared, tokenstore, warc, wordpieces
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +19,8 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    rows = shared.materialize(quality.measured(_table(spark, sf_dir, "documents")), "measured")
+    return quality.judge(rows, quality.fit(rows, _table(spark, sf_dir, "labels")))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
