@@ -31,24 +31,26 @@ def native(index: Index, params: dict) -> dict:
 
 
 def run(index: Index, r: search.Request) -> dict:
-    """Count, hits and aggregations over one filtered frame."""
+    """Count, hits and aggregations.  Only the columns that aggregations read are held
+    between their actions; the hits are ranked in a scan of their own."""
     matching = search.matching(index, r)
-    several = bool(r.aggs) and r.max_hits > 0
-    if several:
-        matching = matching.persist()
+    slim = None
+    if r.aggs:
+        names = sorted({index.column_of(f) for f in aggregations.fields(r.aggs)})
+        slim = matching.select(*[F.col(f"`{n}`") for n in names]).persist()
     try:
-        out: dict[str, Any] = {"num_hits": matching.count() if r.count_all else None, "hits": []}
+        out: dict[str, Any] = {"num_hits": (matching if slim is None else slim).count() if r.count_all else None, "hits": []}
         if r.max_hits:
             hits = search.top(index, r)
             out["hits"] = [x["json"] for x in export.hits_json(index, hits).collect()]
             if r.snippet_fields:
                 out["snippets"] = [x.asDict() for x in search.snippets(index, r, hits).collect()]
-        if r.aggs:
-            out["aggregations"] = aggregations.run(index, matching, r.aggs)
+        if slim is not None:
+            out["aggregations"] = aggregations.run(index.with_df(slim), slim, r.aggs)
         return out
     finally:
-        if several:
-            matching.unpersist()
+        if slim is not None:
+            slim.unpersist()
 
 
 def request_of(index: Index, body: dict | None = None, params: dict | None = None) -> search.Request:

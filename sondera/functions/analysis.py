@@ -8,11 +8,13 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from ..errors import MappingError
 from .porter import stem
 
 LONGEST = 255
+_TOKENS = ArrayType(StringType())
 #: Han, kana, Hangul and full-width forms: a token each in ``chinese_compatible``.
 _CJK = r"぀-ヿ㐀-䶿一-鿿가-힯豈-﫿ｦ-ﾟ"
 _FOLD_FROM = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöøùúûüýÿĀāĂăĄąĆćČčĎďĐđĒēĖėĘęĚěĞğĪīĮįİıŁłŃńŇňŌōŐőŘřŚśŞşŠšŤťŪūŮůŰűŲųŹźŻżŽž"
@@ -91,12 +93,12 @@ def split_code(text: str) -> list[str]:
     return [m.lower() for m in _CODE.findall(text) if len(m.encode()) <= LONGEST]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TOKENS)
 def _source_code(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else split_code(t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(_TOKENS)
 def _stem(c: pd.Series) -> pd.Series:
     seen: dict[str, str] = {}
 

@@ -13,7 +13,7 @@ from ..errors import QueryError
 _PATTERNS = {
     "rfc3339": ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS]XXX"],
     "iso8601": ["yyyy-MM-dd'T'HH:mm:ss[.SSSSSSSSS][.SSSSSS][.SSS][XXX][XX][X]", "yyyy-MM-dd'T'HH:mm[XXX]", "yyyy-MM-dd"],
-    "rfc2822": ["EEE, d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss Z"],
+    "rfc2822": ["d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z"],
 }
 _STRPTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%z": "Z", "%y": "yy", "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%f": "SSSSSS", "%I": "hh", "%p": "a", "%%": "%"}
 
@@ -54,8 +54,12 @@ def parse_datetime(c: Column, formats: Sequence[str] = ("rfc3339", "unix_timesta
             part = F.when(c.rlike(r"^-?\d+\.\d+$"), F.timestamp_micros((c.try_cast("decimal(30,9)") * 1_000_000).cast("long")))
             tried += [timestamp_of_number(whole), part]
         else:
+            if "%a" in f or "%A" in f:
+                raise QueryError(f"{f!r}: names of weekdays can be written but not read")
+            # The weekday says nothing that the date does not.
+            text = F.regexp_replace(c, r"^[A-Za-z]{3},\s*", "") if f == "rfc2822" else c
             for p in _PATTERNS.get(f) or [spark_pattern(f)]:
-                tried.append(F.try_to_timestamp(c, F.lit(p)))
+                tried.append(F.try_to_timestamp(text, F.lit(p)))
     return F.coalesce(*tried)
 
 

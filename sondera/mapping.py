@@ -234,6 +234,16 @@ class Index:
             return Resolved(Field("dynamic", "json", tokenizer=self.mapping.dynamic_tokenizer), F.col("_dynamic"), "$" + keys, isinstance(self._types["_dynamic"], S.VariantType))
         raise QueryError(f"there is no field {path!r}")
 
+    def column_of(self, path: str) -> str:
+        """The column of the table that a field is in."""
+        parts = self.split_path(path)
+        for n in range(len(parts), 0, -1):
+            if (name := ".".join(parts[:n])) in self._types:
+                return name
+        if "_dynamic" in self._types:
+            return "_dynamic"
+        raise QueryError(f"there is no field {path!r}")
+
     def variant(self, r: Resolved) -> Column:
         return r.column if r.variant else F.try_parse_json(r.column)
 

@@ -12,6 +12,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import QueryError
 from ..functions import literals
@@ -20,6 +21,7 @@ from ..mapping import Index
 MOST_BUCKETS = 65_000
 PERCENTS = (1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0)
 BUCKETS = ("terms", "histogram", "date_histogram", "range")
+STATS, EXTENDED = ("count", "sum", "min", "max", "avg"), ("sum_of_squares", "variance", "std_deviation")
 METRICS = ("avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "percentiles", "cardinality")
 
 
@@ -38,6 +40,14 @@ def children(spec: dict) -> dict:
     return spec.get("aggs") or spec.get("aggregations") or {}
 
 
+def fields(aggs: dict) -> set[str]:
+    """All fields that a tree of aggregations reads."""
+    out: set[str] = set()
+    for spec in aggs.values():
+        out |= {spec[kind(spec)]["field"]} | fields(children(spec))
+    return out
+
+
 def _column(index: Index, name: str, numeric: bool = False) -> tuple[Column, bool]:
     r = index.resolve(name)
     if not r.field.fast and index.mapping.get(r.field.name) is not None:
@@ -226,7 +236,7 @@ def _level(index: Index, rows: DataFrame, parents: list[str], spec: dict) -> Dat
     return fill(out, p, k)
 
 
-def df_of(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+def df_of(like: DataFrame, rows: list[tuple], schema: str | StructType) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, schema)
 
 
@@ -248,11 +258,13 @@ def fill(out: DataFrame, p: dict, k: str) -> DataFrame:
 def _metric_result(row: dict, name: str, spec: dict) -> Any:
     k = kind(spec)
     if k in ("stats", "extended_stats"):
-        return {c.split(".", 1)[1]: v for c, v in row.items() if c.startswith(name + ".")}
+        parts = STATS if k == "stats" else STATS + EXTENDED
+        return {s: {"count": 0, "sum": 0.0, "sum_of_squares": 0.0}.get(s) if row.get(f"{name}.{s}") is None else row[f"{name}.{s}"] for s in parts}
     if k == "percentiles":
         got = {f"{q:.1f}": row.get(f"{name}.{q:g}") for q in spec[k].get("percents", PERCENTS)}
         return {"values": got if spec[k].get("keyed", True) else [{"key": float(q), "value": v} for q, v in got.items()]}
-    return {"value": row.get(name)}
+    value = row.get(name)
+    return {"value": {"value_count": 0, "cardinality": 0, "sum": 0.0}.get(k) if value is None else value}
 
 
 def _rfc3339(ms: int) -> str:
@@ -290,7 +302,7 @@ def _nested(index: Index, df: DataFrame, spec: dict, parents: list[str], _above:
     below = {}
     subs = {n: s for n, s in children(spec).items() if kind(s) in BUCKETS}
     if subs and got:
-        kept = level.select(*parents, F.col("_key")).withColumnRenamed("_key", key)  # at most the bucket limit
+        kept = df_of(rows, [tuple(r[q] for q in (*parents, "_key")) for r in got], level.select(*parents, F.col("_key")).schema).withColumnRenamed("_key", key)  # at most the bucket limit
         inner = rows.withColumnRenamed("_key", key).join(F.broadcast(kept), [*parents, key], "left_semi")
         below = {n: _nested(index, inner, s, [*parents, key], {}, used) for n, s in subs.items()}
     others: dict[tuple, int] = {}
@@ -305,7 +317,8 @@ def _nested(index: Index, df: DataFrame, spec: dict, parents: list[str], _above:
             have = {r["_key"]: r for r in rs}
             rs = [have.get(n, {"_key": n, "doc_count": 0}) for n in edges]
         elif k in ("histogram", "date_histogram"):
-            rs = sorted(rs, key=lambda r: r["_key"])
+            rs = _filled(sorted(rs, key=lambda r: r["_key"]), p, k) if parents else sorted(rs, key=lambda r: r["_key"])
+            used[0] += sum(r["doc_count"] == 0 for r in rs) if parents else 0
         else:
             rs = _in_order(rs, p)
         items = []
@@ -330,6 +343,22 @@ def _nested(index: Index, df: DataFrame, spec: dict, parents: list[str], _above:
     return results
 
 
+def _filled(rs: list[dict], p: dict, k: str) -> list[dict]:
+    """The buckets of one parent with the empty ones between them, as :func:`fill` adds them."""
+    if p.get("min_doc_count", 0) > 0 or not rs:
+        return rs
+    every, offset = (float(p["interval"]), float(p.get("offset", 0))) if k == "histogram" else _date_spec(p)
+    lo, hi = rs[0]["_key"], rs[-1]["_key"]
+    if "extended_bounds" in p:
+        at = [math.floor((p["extended_bounds"][e] - offset) / every) * every + offset for e in ("min", "max")]
+        lo, hi = min(lo, at[0]), max(hi, at[1])
+    n = round((hi - lo) / every) + 1
+    if n > MOST_BUCKETS:
+        raise QueryError(f"more than {MOST_BUCKETS} buckets")
+    have = {round((r["_key"] - lo) / every): r for r in rs}
+    return [have.get(i, {"_key": lo + i * every, "doc_count": 0}) for i in range(n)]
+
+
 def _in_order(rs: list[dict], p: dict) -> list[dict]:
     orders = p.get("order", {"_count": "desc"})
     rs = sorted(rs, key=lambda r: (r["_key"] is None, r["_key"]))

@@ -16,7 +16,8 @@ from ..functions import literals
 from ..mapping import Index
 from ..plans import ast as A
 from ..plans import lang
-from ..plans.compile import Compiler
+from ..plans.compile import Compiler, occurrences
+from .rank import Ranked
 
 MOST_HITS = 10_000
 
@@ -170,8 +171,8 @@ def late(index: Index, request: Request) -> DataFrame:
 
 
 class Scroll:
-    """Pages over the documents as they were at the first call.  The ranked ids are
-    written once; a page is a range of ranks."""
+    """Pages over the documents as they were at the first call.  The ranked
+    documents are written once; a page is a range of positions."""
 
     def __init__(self, index: Index, request: Request, folder: str, ttl_ms: int = 300_000):
         if request.search_after is not None:
@@ -179,21 +180,17 @@ class Scroll:
         if ttl_ms > 30 * 60_000:
             raise QueryError("a scroll lives 30 minutes at most")
         self.id, self.size, self.page_no, self.until = uuid.uuid4().hex, request.max_hits, 0, time.time() + ttl_ms / 1000
-        self.index, self.path = index, f"{folder}/scroll-{self.id}"
         df = matching(index, request)
         if any(n == "_score" for n, _ in request.sort):
             df = df.withColumn("_score", Compiler(index).score(tree(index, request)))
-        from .rank import global_rank
-
-        global_rank(df, ordering(index, request.sort), "_rank").write.parquet(self.path)
+        self.ranked = Ranked.write(df, ordering(index, request.sort), f"{folder}/scroll-{self.id}")
 
     def next(self) -> DataFrame:
         if time.time() > self.until:
             raise QueryError("the scroll has expired")
         low = self.page_no * self.size
         self.page_no += 1
-        df = self.index.df.sparkSession.read.parquet(self.path)
-        return df.where((F.col("_rank") > low) & (F.col("_rank") <= low + self.size)).orderBy("_rank").drop("_rank")
+        return self.ranked.slice(low, low + self.size)
 
 
 def highlight(text: str | None, terms: dict[str, float], most: int = 150) -> list[str]:
@@ -231,12 +228,13 @@ def snippets(index: Index, request: Request, hits: DataFrame | None = None) -> D
         if f in request.snippet_fields:
             words.setdefault(f, []).extend(ts)
     weights: dict[str, dict[str, float]] = {}
-    flat = [(f, w) for f, ws in words.items() for w in dict.fromkeys(ws)]
-    if flat:
-        toks = {f: index.tokens(index.resolve(f)) for f in words}
-        row = index.df.agg(*[F.count(F.when(F.array_contains(toks[f], w), 1)).alias(f"c{i}") for i, (f, w) in enumerate(flat)]).first()
-        for i, (f, w) in enumerate(flat):
-            weights.setdefault(f, {})[w] = 1 / (1 + row[f"c{i}"])
+    words = {f: list(dict.fromkeys(ws)) for f, ws in words.items()}
+    if words:
+        seen = [occurrences(index.tokens(index.resolve(f)), ws).alias(f"f{k}") for k, (f, ws) in enumerate(words.items())]
+        counts = [F.count(F.when(F.col(f"f{k}.w{i}"), 1)).alias(f"c{k}_{i}") for k, ws in enumerate(words.values()) for i in range(len(ws))]
+        row = index.df.select(*seen).agg(*counts).first()
+        for k, (f, ws) in enumerate(words.items()):
+            weights[f] = {w: 1 / (1 + row[f"c{k}_{i}"]) for i, w in enumerate(ws)}
 
     def udf(f: str):
         ws = weights.get(f, {})

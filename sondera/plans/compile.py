@@ -36,9 +36,26 @@ def _all(cs: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, cs) if cs else F.lit(True)
 
 
+def bound(tokens: Column, body) -> Column:
+    """``body`` of the tokens, which are made once; in a lambda they would be made again
+    for each position."""
+    return F.get(F.transform(F.array(tokens), body), F.lit(0))
+
+
+def occurrences(tokens: Column, words: list[str]) -> Column:
+    """A struct of the number of tokens (``size``) and whether each word is one (``w0``, ``w1`` ...)."""
+    return bound(tokens, lambda t: F.struct(F.size(t).alias("size"), *[F.array_contains(t, w).alias(f"w{i}") for i, w in enumerate(words)]))
+
+
 def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False) -> Column:
     """Whether the terms stand in order; with a slop, positions less their index may
     differ by at most that."""
+    if slop and len(terms) > MOST_SLOP_TERMS:
+        raise QueryError(f"a phrase with a slop has at most {MOST_SLOP_TERMS} terms")
+    return bound(tokens, lambda t: _phrase(t, terms, slop, prefix))
+
+
+def _phrase(tokens: Column, terms: list[str], slop: int, prefix: bool) -> Column:
     def fits(i: int, t: Column) -> Column:
         return t.startswith(terms[i]) if prefix and i == len(terms) - 1 else t == terms[i]
 
@@ -53,23 +70,23 @@ def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False
             return _all([fits(i, F.get(tokens, p + i)) for i in range(n)])
 
         return has & (size >= n) & F.exists(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), starts)
-    if n > MOST_SLOP_TERMS:
-        raise QueryError(f"a phrase with a slop has at most {MOST_SLOP_TERMS} terms")
-
-    def at(i: int) -> Column:
-        return F.filter(F.sequence(F.lit(0), size - 1), lambda p: fits(i, F.get(tokens, p)))
 
-    def search(i: int, low: Column | None, high: Column | None) -> Column:
+    def search(places: list[Column], i: int, low: Column | None, high: Column | None) -> Column:
         if i == n:
             return high - low <= slop
 
         def step(p: Column) -> Column:
             a = p - i
-            return search(i + 1, a if low is None else F.least(low, a), a if high is None else F.greatest(high, a))
+            return search(places, i + 1, a if low is None else F.least(low, a), a if high is None else F.greatest(high, a))
 
-        return F.exists(at(i), step)
+        return F.exists(places[i], step)
 
-    return has & (size > 0) & search(0, None, None)
+    def at(i: int) -> Column:
+        return F.filter(F.sequence(F.lit(0), size - 1), lambda p: fits(i, F.get(tokens, p)))
+
+    # The places of each term, found once.
+    found = bound(F.array(*[at(i) for i in range(n)]), lambda ps: search([F.get(ps, F.lit(i)) for i in range(n)], 0, None, None))
+    return F.when(has & (size > 0), found).otherwise(F.lit(False))
 
 
 def phrase_count(tokens: Column, terms: list[str]) -> Column:
@@ -119,7 +136,7 @@ class Compiler:
             terms = self._terms(r, node.phrase, node.analyzer)
             if not terms:
                 return F.lit(False)
-            return phrase(self.index.tokens(r), terms, prefix=True)
+            return self._having(r, terms, phrase(self.index.tokens(r), terms, prefix=True))
         if isinstance(node, A.Wildcard):
             return self.wildcard(node)
         if isinstance(node, A.Range):
@@ -131,6 +148,31 @@ class Compiler:
     def _terms(self, r: Resolved, text: str, analyzer: str | None = None) -> list[str]:
         return analysis.query_tokens(text, analyzer or r.field.tokenizer)
 
+    def _text(self, r: Resolved) -> Column | None:
+        """The text that every token of the field is a part of.  That a text holds a term
+        at all is told faster than its tokens are made; so most documents never are."""
+        f = r.field
+        if f.kind != "text" or f.array or r.path is not None or f.tokens:
+            return None
+        if f.tokenizer in ("default", "chinese_compatible", "multilang_default"):
+            return F.lower(r.column)
+        return r.column if f.tokenizer in ("whitespace", "simple") else None
+
+    def _having(self, r: Resolved, parts: list[str], found: Column, every: bool = True) -> Column:
+        """``found``, worked out where the text holds all (or any) of the parts."""
+        text = self._text(r)
+        if text is None:
+            return found
+        return (_all if every else _any)([text.contains(p) for p in dict.fromkeys(parts)]) & found
+
+    def _all_terms(self, r: Resolved, terms: list[str]) -> Column:
+        tokens = self.index.tokens(r)
+        found = F.array_contains(tokens, terms[0]) if len(terms) == 1 else F.size(F.array_except(F.array(*map(F.lit, terms)), tokens)) == 0
+        return self._having(r, terms, found)
+
+    def _any_term(self, r: Resolved, terms: list[str]) -> Column:
+        return self._having(r, terms, F.arrays_overlap(self.index.tokens(r), F.array(*map(F.lit, terms))), every=False)
+
     def literal(self, r: Resolved, value):
         f = r.field
         if f.kind in ("i64", "u64", "f64") and not f.coerce and isinstance(value, str):
@@ -160,7 +202,7 @@ class Compiler:
                 if len(v.encode()) > analysis.LONGEST:
                     return F.lit(False)
                 return F.array_contains(r.column, v) if f.array else r.column == v
-            return F.array_contains(self.index.tokens(r), v)
+            return self._all_terms(r, [v])
         v = self.literal(r, value)
         return F.array_contains(r.column, self._lit(r, v)) if f.array else self._value(r) == self._lit(r, v)
 
@@ -199,7 +241,7 @@ class Compiler:
             texts = [literals.coerce(v, "text") for v in values]
             if f.tokenizer == "raw" and not f.array and not f.tokens:
                 return r.column.isin([t for t in texts if len(t.encode()) <= analysis.LONGEST])
-            return F.arrays_overlap(self.index.tokens(r), F.array(*map(F.lit, texts)))
+            return self._any_term(r, texts)
         lits = [self._lit(r, self.literal(r, v)) for v in values]
         return F.arrays_overlap(r.column, F.array(*lits)) if f.array else self._value(r).isin(*lits)
 
@@ -215,21 +257,21 @@ class Compiler:
             return F.lit(node.zero_terms_all)
         if f.kind == "text" and f.tokenizer == "raw" and not f.tokens and node.mode != "bool_prefix":
             return self.term(r, node.text)
-        tokens = self.index.tokens(r)
         unique = list(dict.fromkeys(terms))
         if node.mode == "bool_prefix":
-            parts = [F.array_contains(tokens, t) for t in terms[:-1]] + [F.exists(tokens, lambda t: t.startswith(terms[-1]))]
-            return _all(parts) if node.operator == "and" else _any(parts)
+            first, last = list(dict.fromkeys(terms[:-1])), terms[-1]
+            tokens = self.index.tokens(r)
+            start = self._having(r, [last], F.exists(tokens, lambda t: t.startswith(last)))
+            if not first:
+                return start
+            return self._all_terms(r, first) & start if node.operator == "and" else safe(self._any_term(r, first)) | start
         if node.mode == "phrase" or (node.mode == "phrase_or_and" and f.record == "position"):
             if len(terms) == 1:
-                return F.array_contains(tokens, terms[0])
-            if f.record != "position" and f.kind == "text":
-                if node.mode == "phrase" and self.index.mapping.get(f.name) is not None:
-                    raise QueryError(f"{f.name!r} records no positions")
-            return phrase(tokens, terms, node.slop)
-        if node.mode == "bool" and node.operator == "or":
-            return F.arrays_overlap(tokens, F.array(*map(F.lit, unique)))
-        return _all([F.array_contains(tokens, t) for t in unique])
+                return self._all_terms(r, terms)
+            if f.record != "position" and f.kind == "text" and node.mode == "phrase" and self.index.mapping.get(f.name) is not None:
+                raise QueryError(f"{f.name!r} records no positions")
+            return self._having(r, terms, phrase(self.index.tokens(r), terms, node.slop))
+        return self._any_term(r, unique) if node.mode == "bool" and node.operator == "or" else self._all_terms(r, unique)
 
     def wildcard(self, node: A.Wildcard) -> Column:
         if not node.value.endswith("*") or "*" in node.value[:-1] or "?" in node.value:
@@ -242,7 +284,7 @@ class Compiler:
             start = start.lower()
         if r.field.kind == "text" and r.field.tokenizer == "raw" and not r.field.array and not r.field.tokens:
             return r.column.startswith(start)
-        return F.exists(self.index.tokens(r), lambda t: t.startswith(start))
+        return self._having(r, [start], F.exists(self.index.tokens(r), lambda t: t.startswith(start)))
 
     def range(self, node: A.Range) -> Column:
         r = self.index.resolve(node.field)
@@ -313,22 +355,36 @@ class Compiler:
         if not terms:
             return F.lit(1.0)
         fields = list(dict.fromkeys(f for f, _, _ in terms))
-        tokens = {f: self.index.tokens(self.index.resolve(f)) for f in fields}
-        words = list(dict.fromkeys((f, t) for f, ts, _ in terms for t in ts))
-        aggs = [F.count("*").alias("n")] + [F.sum(F.size(tokens[f])).alias(f"len{i}") for i, f in enumerate(fields)]
-        aggs += [F.count(F.when(F.array_contains(tokens[f], t), 1)).alias(f"df{i}") for i, (f, t) in enumerate(words)]
-        s = self.index.df.agg(*aggs).first()
+        of = {f: self.index.resolve(f) for f in fields}
+        words = {f: list(dict.fromkeys(t for g, ts, _ in terms for t in ts if g == f)) for f in fields}
+        # Per field its length and which words occur, from tokens made once.
+        seen = [occurrences(self.index.tokens(of[f]), words[f]).alias(f"f{k}") for k, f in enumerate(fields)]
+        aggs = [F.count("*").alias("n")]
+        for k, f in enumerate(fields):
+            aggs += [F.sum(f"f{k}.size").alias(f"len{k}"), *[F.count(F.when(F.col(f"f{k}.w{i}"), 1)).alias(f"df{k}_{i}") for i in range(len(words[f]))]]
+        s = self.index.df.select(*seen).agg(*aggs).first()
         n = s["n"]
-        idf = {w: math.log(1 + (n - s[f"df{i}"] + 0.5) / (s[f"df{i}"] + 0.5)) for i, w in enumerate(words)}
         total = None
-        for f, ts, boost in terms:
-            mean = (s[f"len{fields.index(f)}"] or 0) / n if n else 1.0
-            one = self.index.resolve(f).field
-            t = tokens[f]
-            tf = F.size(F.filter(t, lambda x, w=ts[0]: x == w)) if len(ts) == 1 else phrase_count(t, list(ts))
-            tf = tf.cast("double") if one.record != "basic" or len(ts) > 1 else (tf > 0).cast("double")
-            norm = K1 * (1 - B + B * F.size(t) / F.lit(mean or 1.0))
-            part = F.when(tf > 0, F.lit(boost * sum(idf[f, w] for w in ts) * (K1 + 1)) * tf / (tf + norm)).otherwise(0.0)
-            part = F.coalesce(part, F.lit(0.0))
-            total = part if total is None else total + part
+        for k, f in enumerate(fields):
+            idf = {w: math.log(1 + (n - s[f"df{k}_{i}"] + 0.5) / (s[f"df{k}_{i}"] + 0.5)) for i, w in enumerate(words[f])}
+            mean = ((s[f"len{k}"] or 0) / n if n else 0) or 1.0
+            mine = [(ts, boost) for g, ts, boost in terms if g == f]
+            part = self._bm25(of[f], self.index.tokens(of[f]), mine, idf, mean)
+            total = F.coalesce(part, F.lit(0.0)) if total is None else total + F.coalesce(part, F.lit(0.0))
         return total
+
+    @staticmethod
+    def _bm25(r: Resolved, tokens: Column, terms: list[tuple[tuple[str, ...], float]], idf: dict[str, float], mean: float) -> Column:
+        def one(t: Column, ts: tuple[str, ...]) -> Column:
+            tf = F.size(F.filter(t, lambda x: x == ts[0])) if len(ts) == 1 else phrase_count(t, list(ts))
+            return tf.cast("double") if r.field.record != "basic" or len(ts) > 1 else (tf > 0).cast("double")
+
+        def total(t: Column) -> Column:
+            norm = K1 * (1 - B + B * F.size(t) / F.lit(mean))
+            out = F.lit(0.0)
+            for ts, boost in terms:
+                tf = one(t, ts)
+                out = out + F.lit(boost * sum(idf[w] for w in ts) * (K1 + 1)) * tf / (tf + norm)
+            return out
+
+        return bound(tokens, total)

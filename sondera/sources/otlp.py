@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from ..functions.scalars import span_fingerprint
 
@@ -20,7 +19,8 @@ _LOGS = (
 )
 _KINDS = {"SPAN_KIND_UNSPECIFIED": 0, "SPAN_KIND_INTERNAL": 1, "SPAN_KIND_SERVER": 2, "SPAN_KIND_CLIENT": 3, "SPAN_KIND_PRODUCER": 4, "SPAN_KIND_CONSUMER": 5}
 
-SPAN = S.StructType.fromDDL(
+#: The schema of :func:`spans`, as DDL.
+SPAN = (
     "trace_id string, span_id string, trace_state string, parent_span_id string, service_name string, resource_attributes map<string,string>, scope_name string, scope_version string, span_name string, span_kind int, span_start_timestamp timestamp, span_end_timestamp timestamp, "
     "span_start_timestamp_nanos bigint, span_end_timestamp_nanos bigint, span_duration_millis bigint, span_attributes map<string,string>, span_status struct<code:string,message:string>, events array<struct<timestamp:timestamp,name:string,attributes:map<string,string>>>, event_names array<string>, "
     "links array<struct<trace_id:string,span_id:string,attributes:map<string,string>>>, span_fingerprint string, is_root boolean"

@@ -88,14 +88,14 @@ def write_splits(docs: DataFrame, mapping: Mapping, folder: str, batch_id: int |
     out = docs.withColumn("_partition", routing(mapping.partition_key, mapping.max_partitions))
     ts = F.col(mapping.timestamp).cast("timestamp") if mapping.timestamp else None
     out.write.mode("overwrite").option("maxRecordsPerFile", settings.split_docs).partitionBy("_partition").parquet(path)
-    written = spark.read.schema(out.schema).parquet(path)
+    written = spark.read.schema(out.schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_size").alias("_bytes"))
     tags = []
     for t in mapping.tags:
         values = F.slice(F.array_sort(F.collect_set(F.concat(F.lit(f"{t}:"), F.col(t).cast("string")))), 1, MOST_TAGS + 1)
         tags.append(F.when(F.size(values) <= MOST_TAGS, F.concat(F.array(F.lit(f"{t}!")), values)).otherwise(F.array().cast("array<string>")))
     now = int(time.time())
-    rows = written.groupBy(F.input_file_name().alias("path"), F.col("_partition").alias("partition_id")).agg(
-        F.count("*").alias("num_docs"), F.max(F.input_file_block_length()).alias("bytes"),
+    rows = written.groupBy(F.col("_path").alias("path"), F.col("_partition").alias("partition_id")).agg(
+        F.count("*").alias("num_docs"), F.max("_bytes").alias("bytes"),
         (F.min(F.unix_seconds(ts)) if ts is not None else F.lit(None).cast("long")).alias("time_start"),
         (F.max(F.unix_seconds(ts)) if ts is not None else F.lit(None).cast("long")).alias("time_end"),
         (F.concat(*tags) if tags else F.array().cast("array<string>")).alias("tags"),
