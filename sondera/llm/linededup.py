@@ -1,9 +1,10 @@
 """Repeated passages of lines, found with content-defined chunks.
 
-The lines of a document are cut into chunks.  A rolling hash over the hashes of
-two neighbouring lines sets a boundary where its value is divisible by
-``divisor``, so the same lines are cut alike wherever they stand and whatever
-precedes them.  A chunk between such boundaries has at least two lines.  A line
+The lines of a document are cut into chunks.  A hash that rolls over the hashes of
+two neighbouring lines sets a boundary before the two where it is divisible by
+``divisor``, and one behind the two where it leaves a remainder of one, so the same
+lines are cut alike wherever they stand, whatever precedes and follows them.  A
+chunk between such boundaries has at least two lines.  A line
 of at least ``long_words`` words is a passage of its own, with a boundary on
 either side.  Chunks of two or more lines, and long lines, are counted over all
 documents.  Of each chunk that occurs again, the occurrence with the smallest
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import shared
 from . import text as T
 
-DIVISOR, LONG_WORDS = 3, 50
+DIVISOR, LONG_WORDS = 2, 50
 
 
 def chunk_cuts(hashes: np.ndarray, words: np.ndarray, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> list[int]:
@@ -37,12 +38,15 @@ def chunk_cuts(hashes: np.ndarray, words: np.ndarray, divisor: int = DIVISOR, lo
     n = len(hashes)
     with np.errstate(over="ignore"):
         rolling = T.mix(hashes[:-1] * T.U64(3) + hashes[1:] * T.U64(0x9E3779B97F4A7C15))
-    # Boundary before line i by the two lines before it.
-    may = (rolling % T.U64(divisor) == 0).tolist()
+    left = rolling % T.U64(divisor)
+    may = np.zeros(n + 1, bool)  # a boundary before line i
+    may[: n - 1] |= left == 0
+    may[2 : n + 1] |= left == 1 % divisor
+    may = may.tolist()
     big = (words >= long_words).tolist()
     cuts = [0]
     for i in range(1, n):
-        if big[i] or big[i - 1] or (i - cuts[-1] >= 2 and may[i - 2]):
+        if big[i] or big[i - 1] or (may[i] and i - cuts[-1] >= 2):
             cuts.append(i)
     return [*cuts, n]
 
