@@ -39,7 +39,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     last = None
     for _ in range(MOST_ROUNDS):
-        e = shared.materialize(_star(_star(e, True), False), "stars")
+        before, e = e, shared.materialize(_star(_star(e, True), False), "stars")
+        shared.remove(before)
         # Settled once every node hangs on one smallest node that hangs on none.
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == last:

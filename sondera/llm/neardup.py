@@ -40,12 +40,14 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
 from . import text as T
 from .components import components
+from .members import near_set
 
 M, MANTISSA = 128, 10
 BLOCK, ROUNDS = 1024, 4
@@ -167,15 +169,35 @@ def _reg(column) -> np.ndarray:
 COMPARED = "a long, b long, na long, both long, minus binary, plus binary"
 
 
-def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """The pairs with the size of a's set, of the intersection, and their differences
-    a - b and b - a on full sets."""
+def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A table in the shared folder: doc_id and the compressed text of each document of the pairs."""
+
+    def squeeze(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                texts = [pack.compress(t.as_buffer()) for t in part.column(1).cast(pa.large_string()).fill_null("")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return shared.materialize(near_set(docs.where("doc_id is not null"), "doc_id", ids, "id", squeeze, "doc_id long, text binary").dropDuplicates(["doc_id"]), "texts")
+
+
+def _unpacked(column) -> pa.Array:
+    d = zstandard.ZstdDecompressor()
+    return pa.array([d.decompress(x) for x in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
+
+
+def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """A table in the shared folder: the pairs with the size of a's set, of the intersection,
+    and their differences a - b and b - a on full sets."""
 
     def work(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                x, y = shingle_sets(part.column(2), k), shingle_sets(part.column(3), k)
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
+                x, y = shingle_sets(_unpacked(part.column(2)), k), shingle_sets(_unpacked(part.column(3)), k)
                 minus, plus = [], []
                 for p, q in zip(x, y, strict=True):
                     minus.append(np.setdiff1d(p, q, assume_unique=True))
@@ -188,8 +210,11 @@ def compared(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
                     names=["a", "b", "na", "both", "minus", "plus"],
                 )
 
+    texts = candidate_texts(docs, pairs)
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.select("a", "b", "ta", "tb").mapInArrow(work, COMPARED)
+    out = shared.materialize(full.select("a", "b", "ta", "tb").mapInArrow(work, COMPARED), "compared")
+    shared.remove(texts)
+    return out
 
 
 def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -293,7 +318,9 @@ def through_hubs(met: DataFrame, comps: DataFrame, percent: int, block: int = BL
     main = by.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     m = shared.materialize(m.join(main.select("a", "main"), "a").select("a", "b", "na", "minus", "plus", "component", "main"), "hub_members")
     rows = m.drop("main")
-    return in_blocks(rows, "a", m.where("component <> main").drop("main"), _through_hub(percent), block).distinct()
+    out = shared.materialize(in_blocks(rows, "a", m.where("component <> main").drop("main"), _through_hub(percent), block).distinct(), "hub_links")
+    shared.remove(m)
+    return out
 
 
 def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS):
@@ -316,36 +343,40 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]), pa.int64())], names=["key", "rep"])
 
     keyed = reps.mapInArrow(bands, "key long, rep long")
-    met, links_ = None, F.col("both") * 100 >= percent * (F.col("na") + F.octet_length("plus") / 8)
+    met, tables, links_ = None, [], F.col("both") * 100 >= percent * (F.col("na") + F.octet_length("plus") / 8)
     for n in range(rounds):
         hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
         members = shared.materialize(keyed.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub"), "members")
+        shared.remove(keyed)
         pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         if met is not None:
             pairs = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
         pairs = shared.materialize(estimated(pairs, reps, close), "candidates")
         if n == 0 or not pairs.isEmpty():
-            texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-            new = shared.materialize(compared(pairs, texts, k), "compared")
-            met = new if met is None else met.unionByName(new)
+            tables.append(compared(pairs, docs, k))
+            met = tables[0] if met is None else met.unionByName(tables[-1])
         # Close to its hub by more than the distance of a link: settled in this band.
         settled = met.where(F.col("both") >= (close + 1 - threshold) * (F.col("na") + F.octet_length("plus") / 8)).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
         keyed = shared.materialize(members.join(settled, ["hub", "rep"], "left_anti").select("key", "rep"), "unsettled")
+        shared.remove(pairs)
+        shared.remove(members)
         if keyed.isEmpty():
             break
-    edges = met.where(links_).select("a", "b")
+    edges = shared.materialize(met.where(links_).select("a", "b"), "links")
     comps = components(edges)
     found = through_hubs(met, comps, percent)
     left = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
     rest = left.select("key", F.col("rep").alias("b")).join(reps.select(F.col("rep").alias("b"), "registers"), "b").select("key", "b", "registers")
     pairs = shared.materialize(in_blocks(rest, "key", rest, _one_by_one(threshold)).distinct(), "rest")
     if not pairs.isEmpty():
-        texts = docs.join(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        found = found.unionByName(compared(pairs, texts, k).where(links_).select("a", "b"))
+        tables.append(compared(pairs, docs, k))
+        found = found.unionByName(tables[-1].where(links_).select("a", "b"))
     found = shared.materialize(found, "more_links")
     if not found.isEmpty():
         edges = edges.unionByName(found)
         comps = components(edges)
+    for t in (*tables, reps, keyed, pairs):
+        shared.remove(t)
     return sig, by_digest, edges, comps
 
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text that are worked on at a time.
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 _all = np.arange(256)
 #: Bytes of the words ``[^\x20\x09-\x0D]+``.
