@@ -14,7 +14,7 @@ from .errors import MappingError, QueryError
 from .functions import analysis
 from .functions.scalars import glob_match
 from .mapping import Index, Mapping
-from .operators import maintain, meta
+from .operators import maintain, meta, search
 from .plans import ast as A
 from .plans.compile import Compiler
 
@@ -109,6 +109,26 @@ class Catalog:
             return empty
         return Index(self.spark.read.option("mergeSchema", "true").parquet(*paths), mapping, index_id)
 
+    def newest(self, index_id: str, request: search.Request, at_once: int = 16) -> list[dict]:
+        """The hits of a request for the latest documents first, read from the newest splits
+        on until no older split can hold a better hit.  Nothing is counted."""
+        mapping = Mapping.parse(self.config(index_id))
+        if not mapping.timestamp or request.sort != [(mapping.timestamp, True)] or request.start_offset:
+            raise QueryError("the newest hits are sorted by the timestamp, descending, from the first")
+        empty = Index(self.spark.createDataFrame([], mapping.schema()), mapping, index_id)
+        m = meta.prune(self.manifest(index_id), empty, search.tree(empty, request), request.start_timestamp, request.end_timestamp)
+        splits = m.where("state = 'published' and time_end is not null").select("path", "time_end").orderBy(F.desc("time_end")).collect()
+        best: list[dict] = []
+        while splits and not (len(best) == request.max_hits and best[-1]["_second"] > splits[0]["time_end"]):
+            some, splits = splits[:at_once], splits[at_once:]
+            ix = Index(self.spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in some]), mapping, index_id)
+            hits = search.top(ix, request).withColumn("_second", F.unix_seconds(F.col(mapping.timestamp).cast("timestamp")))
+            best += [r.asDict() for r in hits.collect()]
+            best.sort(key=lambda r: (r[mapping.timestamp], r[ix.id]), reverse=True)
+            del best[request.max_hits :]
+            at_once *= 2
+        return [{k: v for k, v in r.items() if k != "_second"} for r in best]
+
     # Sources
 
     def add_source(self, index_id: str, source: dict) -> None:
@@ -186,7 +206,6 @@ class Catalog:
 
     def delete_where(self, index_id: str, query: A.Node, start: int | None = None, end: int | None = None) -> int:
         """Rewrite the splits that hold matching documents without them; returns how many documents go."""
-        from .operators.search import interval
         from .streaming.ingest import write_splits
 
         mapping = Mapping.parse(self.config(index_id))
@@ -196,7 +215,7 @@ class Catalog:
             return 0
         df = self.spark.read.option("mergeSchema", "true").parquet(*[r["path"] for r in hit])
         ix = Index(df, mapping, index_id)
-        p = Compiler(ix).predicate(query) & interval(ix, start, end)
+        p = Compiler(ix).predicate(query) & search.interval(ix, start, end)
         gone = df.where(p).count()
         if gone:
             write_splits(df.where(~p), mapping, self._folder(index_id))

@@ -169,14 +169,15 @@ class Resolved:
 
 
 class Index:
-    """A DataFrame with a mapping; what queries are run against."""
+    """A DataFrame with a mapping; what queries are run against.  ``stats`` are term
+    statistics written for it, which scores then use."""
 
-    def __init__(self, df: DataFrame, mapping: Mapping | None = None, name: str = "index"):
-        self.df, self.mapping, self.name = df, mapping or Mapping(), name
+    def __init__(self, df: DataFrame, mapping: Mapping | None = None, name: str = "index", stats=None):
+        self.df, self.mapping, self.name, self.stats = df, mapping or Mapping(), name, stats
         self._types = {f.name: f.dataType for f in df.schema.fields}
 
     def with_df(self, df: DataFrame) -> Index:
-        return Index(df, self.mapping, self.name)
+        return Index(df, self.mapping, self.name, self.stats)
 
     @property
     def id(self) -> str:

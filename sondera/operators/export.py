@@ -67,7 +67,10 @@ def output(index: Index) -> list[Column]:
     """Every mapped column as it is given out: dates, numbers and bytes in the output
     format of their field."""
     out = []
+    made = {f.tokens for f in index.mapping.fields if f.tokens}
     for f in index.df.schema.fields:
+        if f.name in made:
+            continue
         m = index.mapping.get(f.name)
         c = F.col(f"`{f.name}`")
         if m is not None and not m.array:

@@ -16,7 +16,7 @@ from ..functions import literals
 from ..mapping import Index
 from ..plans import ast as A
 from ..plans import lang
-from ..plans.compile import Compiler, occurrences
+from ..plans.compile import Compiler
 from .rank import Ranked
 
 MOST_HITS = 10_000
@@ -230,11 +230,8 @@ def snippets(index: Index, request: Request, hits: DataFrame | None = None) -> D
     weights: dict[str, dict[str, float]] = {}
     words = {f: list(dict.fromkeys(ws)) for f, ws in words.items()}
     if words:
-        seen = [occurrences(index.tokens(index.resolve(f)), ws).alias(f"f{k}") for k, (f, ws) in enumerate(words.items())]
-        counts = [F.count(F.when(F.col(f"f{k}.w{i}"), 1)).alias(f"c{k}_{i}") for k, ws in enumerate(words.values()) for i in range(len(ws))]
-        row = index.df.select(*seen).agg(*counts).first()
-        for k, (f, ws) in enumerate(words.items()):
-            weights[f] = {w: 1 / (1 + row[f"c{k}_{i}"]) for i, w in enumerate(ws)}
+        df = (index.stats.lookup(words) if index.stats is not None else c.frequencies(words))[1]
+        weights = {f: {w: 1 / (1 + df[f, w]) for w in ws} for f, ws in words.items()}
 
     def udf(f: str):
         ws = weights.get(f, {})

@@ -348,26 +348,32 @@ class Compiler:
                         out += [(leaf.field, (t,), boost) for t in terms]
         return out
 
+    def frequencies(self, words: dict[str, list[str]]) -> tuple[dict[str, tuple[int, float]], dict[tuple[str, str], int]]:
+        """Per field the number of documents and the mean length, and in how many documents
+        each word is; in one aggregation over tokens that are made once."""
+        seen = [occurrences(self.index.tokens(self.index.resolve(f)), ws).alias(f"f{k}") for k, (f, ws) in enumerate(words.items())]
+        aggs = [F.count("*").alias("n")]
+        for k, ws in enumerate(words.values()):
+            aggs += [F.sum(f"f{k}.size").alias(f"len{k}"), *[F.count(F.when(F.col(f"f{k}.w{i}"), 1)).alias(f"df{k}_{i}") for i in range(len(ws))]]
+        s = self.index.df.select(*seen).agg(*aggs).first()
+        totals = {f: (s["n"], (s[f"len{k}"] or 0) / s["n"] if s["n"] else 0.0) for k, f in enumerate(words)}
+        return totals, {(f, w): s[f"df{k}_{i}"] for k, (f, ws) in enumerate(words.items()) for i, w in enumerate(ws)}
+
     def score(self, node: A.Node) -> Column:
-        """BM25 over the node's text leaves.  Document frequencies and mean lengths are
-        taken over the whole index, in one aggregation."""
+        """BM25 over the node's text leaves, with document frequencies and mean lengths of
+        the whole index: those written for it, or taken in one aggregation."""
         terms = self.score_terms(node)
         if not terms:
             return F.lit(1.0)
         fields = list(dict.fromkeys(f for f, _, _ in terms))
         of = {f: self.index.resolve(f) for f in fields}
         words = {f: list(dict.fromkeys(t for g, ts, _ in terms for t in ts if g == f)) for f in fields}
-        # Per field its length and which words occur, from tokens made once.
-        seen = [occurrences(self.index.tokens(of[f]), words[f]).alias(f"f{k}") for k, f in enumerate(fields)]
-        aggs = [F.count("*").alias("n")]
-        for k, f in enumerate(fields):
-            aggs += [F.sum(f"f{k}.size").alias(f"len{k}"), *[F.count(F.when(F.col(f"f{k}.w{i}"), 1)).alias(f"df{k}_{i}") for i in range(len(words[f]))]]
-        s = self.index.df.select(*seen).agg(*aggs).first()
-        n = s["n"]
+        totals, df = self.index.stats.lookup(words) if self.index.stats is not None else self.frequencies(words)
         total = None
-        for k, f in enumerate(fields):
-            idf = {w: math.log(1 + (n - s[f"df{k}_{i}"] + 0.5) / (s[f"df{k}_{i}"] + 0.5)) for i, w in enumerate(words[f])}
-            mean = ((s[f"len{k}"] or 0) / n if n else 0) or 1.0
+        for f in fields:
+            n, mean = totals.get(f, (0, 0.0))
+            idf = {w: math.log(1 + (n - df[f, w] + 0.5) / (df[f, w] + 0.5)) for w in words[f]}
+            mean = mean or 1.0
             mine = [(ts, boost) for g, ts, boost in terms if g == f]
             part = self._bm25(of[f], self.index.tokens(of[f]), mine, idf, mean)
             total = F.coalesce(part, F.lit(0.0)) if total is None else total + F.coalesce(part, F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..mapping import Index
-from ..operators import export, search
+from ..operators import export, search, termstats
 from ..plans import dsl
 from .. import scratch
 from .base import DOCUMENTS, D, ORDERS, index, query, table
@@ -84,6 +84,15 @@ def bm25_topk(spark, sf_dir):
     return search.top(ix, r).select("doc_id", F.round("_score", 6).alias("score"))
 
 
+@query(_BM25)
+def bm25_topk_from_statistics(spark, sf_dir):
+    """As ``bm25_topk``, with the frequencies looked up in a table written before."""
+    ix = index(spark, sf_dir, "documents")
+    ix.stats = termstats.collect(ix, ["text"], scratch.folder(spark, "terms"))
+    r = search.Request(dsl.parse({"match": {"text": "apache license"}}), max_hits=20, sort=[("_score", True)])
+    return search.top(ix, r).select("doc_id", F.round("_score", 6).alias("score"))
+
+
 @query()
 def snippet_highlight(spark, sf_dir):
     r = search.Request("text:apache", max_hits=10, snippet_fields=["text"], sort=[("n_chars", True)])

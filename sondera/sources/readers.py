@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from ..errors import MappingError, QueryError
-from ..functions import scalars
+from ..functions import analysis, scalars
 from ..mapping import Field, Mapping
 
 FORMATS = ("json", "plain_text", "otlp_traces_json", "otlp_logs_json", "otlp_traces_proto", "otlp_logs_proto")
 
 
 def file_source(spark: SparkSession, params: dict, streaming: bool = False) -> DataFrame:
-    """Lines of text files, as a column ``value``."""
+    """Lines of text files, as a column ``value``; of binary formats, a file a message."""
     path = params.get("filepath") or params.get("path")
     if not path:
         raise MappingError("a file source needs a path")
@@ -27,6 +27,8 @@ def file_source(spark: SparkSession, params: dict, streaming: bool = False) -> D
             if k in params:
                 r = r.option(k, params[k])
         return r.text(path)
+    if params.get("binary"):
+        return spark.read.format("binaryFile").load(path).select(F.col("content").alias("value"))
     return spark.read.text(path)
 
 
@@ -51,7 +53,7 @@ def kafka_source(spark: SparkSession, params: dict, streaming: bool = False) ->
     for k, v in conf.items():
         r = r.option(f"kafka.{k}", v)
     r = r.option("startingOffsets", "earliest" if conf.get("auto.offset.reset", "earliest") == "earliest" else "latest")
-    return r.load().select(F.col("value").cast("string").alias("value"))
+    return r.load().select(F.col("value").cast("binary" if params.get("binary") else "string").alias("value"))
 
 
 def connector(kind: str) -> Callable:
@@ -59,11 +61,11 @@ def connector(kind: str) -> Callable:
     def read(spark: SparkSession, params: dict, streaming: bool = False) -> DataFrame:
         r = (spark.readStream if streaming else spark.read).format(params.get("format", kind))
         for k, v in params.items():
-            if k != "format" and not isinstance(v, (dict, list)):
+            if k not in ("format", "binary") and not isinstance(v, (dict, list)):
                 r = r.option(k, v)
         df = r.load()
         name = "value" if "value" in df.columns else "data"
-        return df.select(F.col(name).cast("string").alias("value"))
+        return df.select(F.col(name).cast("binary" if params.get("binary") else "string").alias("value"))
 
     return read
 
@@ -79,7 +81,8 @@ def read_source(spark: SparkSession, config: dict, streaming: bool = False) -> D
     kind = config["source_type"]
     if kind not in SOURCES:
         raise MappingError(f"there is no source type {kind!r}")
-    return SOURCES[kind](spark, config.get("params", {}), streaming)
+    params = config.get("params", {}) | ({"binary": True} if config.get("input_format", "").endswith("_proto") else {})
+    return SOURCES[kind](spark, params, streaming)
 
 
 def register_source(kind: str, reader: Callable[..., DataFrame]) -> None:
@@ -93,12 +96,13 @@ def decode(raw: DataFrame, input_format: str = "json", column: str = "value") ->
         return raw.select(c.alias("doc"))
     if input_format == "plain_text":
         return raw.select(F.to_json(F.struct(c.alias("plain_text"))).alias("doc"))
-    from . import otlp
+    from . import otlp, protobuf
 
-    if input_format == "otlp_traces_json":
-        return otlp.spans(raw.select(c.alias("value"))).select(F.to_json(F.struct("*")).alias("doc"))
-    if input_format == "otlp_logs_json":
-        return otlp.logs(raw.select(c.alias("value"))).select(F.to_json(F.struct("*")).alias("doc"))
+    kind, _, written = input_format.rpartition("_")
+    if kind in ("otlp_traces", "otlp_logs") and written in ("json", "proto"):
+        message, rows = ("Traces", otlp.spans) if kind == "otlp_traces" else ("Logs", otlp.logs)
+        text = raw.select(c.alias("value")) if written == "json" else protobuf.to_json(raw, message, column)
+        return rows(text).select(F.to_json(F.struct("*")).alias("doc"))
     raise MappingError(f"there is no input format {input_format!r}")
 
 
@@ -166,6 +170,9 @@ def parse(docs: DataFrame, mapping: Mapping, doc: str = "doc") -> DataFrame:
             if f.name == mapping.timestamp and prefix == "$":
                 errors.append(F.when(is_object & ~F.coalesce(present, F.lit(False)), F.lit("the timestamp is missing")))
             out.append(c.alias(f.name))
+            if f.tokens:
+                run = analysis.tokenizer(f.tokenizer)
+                out.append((F.flatten(F.transform(c, run)) if f.array else run(c)).alias(f.tokens))
         return out
 
     cols = walk(mapping.fields, "$")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from sondera.catalog import Catalog, analyze
 from sondera.errors import MappingError, QueryError
 from sondera.functions import scalars
-from sondera.mapping import Mapping
-from sondera.operators import export, maintain, meta
+from sondera.mapping import Index, Mapping
+from sondera.operators import export, maintain, meta, search
 from sondera.operators.maintain import LimitMerge, Split, StableLog
 from sondera.plans import ast as A
 from sondera.plans import lang
@@ -118,6 +118,11 @@ def test_catalog_life_cycle(spark, tmp_path):
     assert m.agg(F.sum("num_docs")).first()[0] == 30 and cat.describe("logs").first()["num_published_docs"] == 30
     assert meta.prune(m, cat.open("logs"), A.Term("app", "web")).agg(F.sum("num_docs")).first()[0] == 15
     assert cat.open("logs", A.Term("app", "db"), day + 86400, day + 2 * 86400).df.count() <= 15
+    newest = cat.newest("logs", search.Request("app:web", max_hits=7, sort=[("ts", True)]), at_once=1)
+    want = cat.open("logs").df.where("app = 'web'").orderBy(F.desc("ts")).limit(7).collect()
+    assert [r["n"] for r in newest] == [r["n"] for r in want] and len(cat.newest("logs", search.Request(max_hits=99, sort=[("ts", True)]))) == 30
+    with pytest.raises(QueryError):
+        cat.newest("logs", search.Request(sort=[("n", True)]))
     n_splits = m.count()
     merged = cat.merge("logs")
     assert cat.open("logs").df.count() == 30
@@ -157,6 +162,38 @@ def test_otlp_logs(spark):
     assert docs.count() == 2
 
 
+def _field(number: int, value) -> bytes:
+    if isinstance(value, int):
+        return bytes([number << 3 | 1]) + value.to_bytes(8, "little")
+    size, n = b"", len(value)
+    while n > 127:
+        size, n = size + bytes([n & 127 | 128]), n >> 7
+    return bytes([number << 3 | 2]) + size + bytes([n]) + value
+
+
+def test_otlp_protobuf(spark):
+    attr = lambda k, v: _field(1, k) + _field(2, v)
+    span = _field(1, bytes(range(16))) + _field(2, b"12345678") + _field(5, b"op") + bytes([6 << 3, 2]) + _field(7, 1_700_000_000_000_000_000) + _field(8, 1_700_000_000_250_000_000) + _field(9, attr(b"k", bytes([3 << 3, 5]))) + bytes([15 << 3 | 2, 2, 3 << 3, 2])
+    message = _field(1, _field(1, _field(1, attr(b"service.name", _field(1, b"shop")))) + _field(2, _field(1, _field(1, b"lib")) + _field(2, span) + _field(2, span)))
+    raw = spark.createDataFrame([(message,), (b"\xff\xff",), (None,)], "value binary")
+    rows = [json.loads(r["doc"]) for r in readers.decode(raw, "otlp_traces_proto").collect()]
+    assert len(rows) == 2 and rows[0]["service_name"] == "shop" and rows[0]["span_attributes"] == {"k": "5"} and rows[0]["span_duration_millis"] == 250
+    assert rows[0]["span_status"]["code"] == "error" and rows[0]["trace_id"] == bytes(range(16)).hex() and rows[0]["scope_name"] == "lib"
+    log = _field(1, 1_700_000_000_000_000_000) + _field(3, b"WARN") + _field(5, _field(1, b"hello"))
+    logs = spark.createDataFrame([(_field(1, _field(2, _field(2, log))),)], "value binary")
+    (one,) = [json.loads(r["doc"]) for r in readers.decode(logs, "otlp_logs_proto").collect()]
+    assert one["body"] == "hello" and one["severity_text"] == "WARN" and one["service_name"] == "unknown_service"
+
+
+def test_ready_made_tokens(spark):
+    m = Mapping.parse({"doc_mapping": {"field_mappings": [{"name": "body", "type": "text", "tokens": "body_tokens", "record": "position"}]}, "search_settings": {"default_search_fields": ["body"]}})
+    docs = spark.createDataFrame([('{"body": "A small bike"}',), ('{"body": "Bike, small"}',), ("{}",)], "doc string")
+    ix = Index(ingest.valid(readers.parse(docs, m)), m)
+    assert ix.df.columns[:2] == ["body", "body_tokens"]
+    assert search.count(ix, search.Request('"small bike"')).first()["count"] == 1 and search.count(ix, search.Request("bike")).first()["count"] == 2
+    assert "body_tokens" not in json.loads(export.hits_json(ix, search.matching(ix, search.Request("bike"))).first()["json"])
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([("2023-05-25T05:36:42.5Z",), ("Thu, 25 May 2023 05:36:42 +0000",), ("1684993002",), ("1684993002.25",), ("25.05.2023",), ("never",), (None,)], "c string")
     got = [r[0] for r in df.select(F.unix_micros(scalars.parse_datetime(F.col("c"), ["rfc3339", "rfc2822", "unix_timestamp", "%d.%m.%Y"]))).collect()]
