@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from . import text as T
 
 WINDOW, KGRAM, BLOCK_WORDS = 13, 7, 2_000_000
 
-SCHEMA = "doc_id long, n_words long, hit binary, items array<string>"
+SCHEMA = "doc_id long, n_words long, n_hit long, hit binary, items array<string>"
 
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
@@ -160,11 +161,11 @@ def scan(documents: DataFrame, items: list[tuple[str, str]], window: int = WINDO
                 bits = [np.packbits(hit[first[r] : first[r + 1]]).tobytes() if r in by_row else None for r in range(j - i)]
                 out = [[names[x] for x in sorted(by_row[r])] if r in by_row else [] for r in range(j - i)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "hit", "items"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(T.totals(hit, first), pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.list_(pa.string()))],
+                    names=["doc_id", "n_words", "n_hit", "hit", "items"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SCHEMA)
+    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), SCHEMA)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -182,13 +183,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             union = union.unionByName(p)
         found = union.groupBy("doc_id").applyInArrow(_unite, SCHEMA)
 
-    def count(batches):
-        for b in batches:
-            n = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in b.column("hit").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_words"), pa.array(n, pa.int64()), b.column("items")], names=["doc_id", "n_words", "n_hit", "items"])
-
-    out = found.mapInArrow(count, "doc_id long, n_words long, n_hit long, items array<string>")
-    return out.withColumn("items", F.array_sort("items")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    out = found.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def _unite(table: pa.Table) -> pa.Table:
@@ -200,8 +196,8 @@ def _unite(table: pa.Table) -> pa.Table:
             hit = x if hit is None else hit | x
     items = sorted({x for r in rows for x in r["items"]})
     return pa.table(
-        [pa.array([rows[0]["doc_id"]], pa.int64()), pa.array([rows[0]["n_words"]], pa.int64()), pa.array([None if hit is None else hit.tobytes()], pa.binary()), pa.array([items], pa.list_(pa.string()))],
-        names=["doc_id", "n_words", "hit", "items"],
+        [pa.array([rows[0]["doc_id"]], pa.int64()), pa.array([rows[0]["n_words"]], pa.int64()), pa.array([0 if hit is None else int(np.unpackbits(hit).sum())], pa.int64()), pa.array([None if hit is None else hit.tobytes()], pa.binary()), pa.array([items], pa.list_(pa.string()))],
+        names=["doc_id", "n_words", "n_hit", "hit", "items"],
     )
 
 

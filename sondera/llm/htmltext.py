@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 SIGMA, SHARE = 1.0, 0.5
 
 _TOKEN = re.compile(
@@ -264,4 +266,4 @@ def extract_pages(pages: DataFrame, sigma: float = SIGMA, share: float = SHARE)
                 texts = [extract(h, sigma, share) for h in b.column(2).slice(lo, 256).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), b.column(1).slice(lo, 256), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(work, "page_id long, url string, text string, n_chars long")
+    return shared.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(shared.tidy(work), "page_id long, url string, text string, n_chars long")

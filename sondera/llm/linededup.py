@@ -91,7 +91,7 @@ def occurrences(documents: DataFrame, divisor: int = DIVISOR, long_words: int =
                 rows += [(_key(text[x:y]), doc, p) for p, (x, y, counted) in enumerate(spans) if counted]
             yield _batch(rows, schema)
 
-    return documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "key binary, doc_id long, place int")
+    return shared.id_and_text(documents).where("doc_id is not null").mapInArrow(shared.tidy(work), "key binary, doc_id long, place int")
 
 
 def marked(documents: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
@@ -123,7 +123,7 @@ def _texts(docs: DataFrame, divisor: int, long_words: int) -> DataFrame:
             yield _batch(rows, schema)
 
     d = docs.where("_places is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_places")
-    return d.mapInArrow(work, "key binary, doc_id long, place int, gone boolean, chunk binary")
+    return d.mapInArrow(shared.tidy(work), "key binary, doc_id long, place int, gone boolean, chunk binary")
 
 
 def unequal(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
@@ -163,4 +163,4 @@ def dedup_lines(documents: DataFrame, divisor: int = DIVISOR, long_words: int =
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(chars, pa.int64())], names=schema.names)
 
     schema = documents.select("*").schema.add("_chunks_removed", "long").add("_chars_removed", "long")
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(shared.tidy(work), schema)

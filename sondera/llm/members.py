@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 BITS, SEGMENT_BITS = 27, 17
 
 
@@ -48,4 +50,4 @@ def near_set(rows: DataFrame, column: str, ids: DataFrame, id_column: str, work,
             if len(hit):
                 yield b.take(pa.array(hit)).select(range(last))
 
-    return rows.withColumn("_at", _place(F.col(column))).mapInArrow(lambda batches: work(some(batches)), schema)
+    return rows.withColumn("_at", _place(F.col(column))).mapInArrow(shared.tidy(lambda batches: work(some(batches))), schema)

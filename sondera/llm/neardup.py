@@ -159,7 +159,7 @@ def signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "digest", "registers"],
             )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, SIGNATURE)
+    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), SIGNATURE)
 
 
 def _reg(column) -> np.ndarray:
@@ -212,7 +212,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
     texts = candidate_texts(docs, pairs)
     full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    out = shared.materialize(full.select("a", "b", "ta", "tb").mapInArrow(work, COMPARED), "compared")
+    out = shared.materialize(full.select("a", "b", "ta", "tb").mapInArrow(shared.tidy(work), COMPARED), "compared")
     shared.remove(texts)
     return out
 
@@ -227,7 +227,7 @@ def estimated(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
 
     r = reps.select(F.col("rep"), F.col("registers"))
     full = pairs.join(r.toDF("a", "ra"), "a").join(r.toDF("b", "rb"), "b")
-    return full.select("a", "b", "ra", "rb").mapInArrow(work, "a long, b long")
+    return full.select("a", "b", "ra", "rb").mapInArrow(shared.tidy(work), "a long, b long")
 
 
 class _Group:
@@ -327,7 +327,7 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
     """Signatures, representatives of equal sets, links and components of representatives."""
     threshold = percent / 100
     close = min(CLOSE, threshold)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = shared.id_and_text(documents)
     sig = shared.materialize(signatures(docs, k, percent), "signatures")
     named = sig.where("doc_id is not null and digest is not null")
     by_digest = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
@@ -342,7 +342,7 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
                 keys = band_keys(_reg(b.column(1)), 5 if percent >= 85 else 4)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]), pa.int64())], names=["key", "rep"])
 
-    keyed = reps.mapInArrow(bands, "key long, rep long")
+    keyed = reps.mapInArrow(shared.tidy(bands), "key long, rep long")
     met, tables, links_ = None, [], F.col("both") * 100 >= percent * (F.col("na") + F.octet_length("plus") / 8)
     for n in range(rounds):
         hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")

@@ -131,8 +131,8 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
                     names=["doc_id", "piece", "start", "length", "part", "k", "ids"],
                 )
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shared.materialize(docs.mapInArrow(work, "doc_id long, piece int, start long, length long, part int, k long, ids binary"), "pieces")
+    docs = shared.id_and_text(documents)
+    return shared.materialize(docs.mapInArrow(shared.tidy(work), "doc_id long, piece int, start long, length long, part int, k long, ids binary"), "pieces")
 
 
 def unpack(blob: bytes) -> bytes:
@@ -167,7 +167,7 @@ def assign(table: DataFrame, columns: list[str], capacity: int = CAPACITY) -> Da
                 names=schema.names,
             )
 
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(shared.tidy(place), schema)
 
 
 def crc32s(table: DataFrame) -> DataFrame:
@@ -180,7 +180,7 @@ def crc32s(table: DataFrame) -> DataFrame:
 
     cols = ["doc_id", "piece", "start", "length", "part", "k"]
     schema = table.select(*cols).schema.add("ids_crc32", "long")
-    return table.select(*cols, "ids").mapInArrow(work, schema)
+    return table.select(*cols, "ids").mapInArrow(shared.tidy(work), schema)
 
 
 def pack(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -40,10 +40,6 @@ _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CHAR = (np.arange(256) & 0xC0) != 0x80
 
 
-def _total(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    return np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[offsets])
-
-
 def statistics(texts) -> tuple[np.ndarray, np.ndarray]:
     """The five counts and the statistics of the forest, a row for each text."""
     data, off = T.buffers(texts)
@@ -53,8 +49,8 @@ def statistics(texts) -> tuple[np.ndarray, np.ndarray]:
         s, e, first = T.split_words(d, o, T.NOT_SPACE)
         h = T.span_hashes(d, s, e)
         n = np.diff(first)
-        chars = _total(_CHAR[d] & T.NOT_SPACE[d], o)
-        symbols = _total(_SYMBOL[d], o)
+        chars = T.totals(_CHAR[d] & T.NOT_SPACE[d], o)
+        symbols = T.totals(_SYMBOL[d], o)
         # Lines that have a word and equal an earlier one.
         ls, le, lfirst = T.split_lines(d, o)
         worded = np.searchsorted(s, le) > np.searchsorted(s, ls)
@@ -163,22 +159,34 @@ def measured(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(counts[:, c], pa.int64()) for c in range(5)), pa.array(list(feats), pa.list_(pa.float64()))], names=["doc_id", *COUNTS, "x"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>"
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
+    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), schema)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, quality, x) of the labelled documents that pass the base rules."""
+    """(doc_id, quality, x) of the labelled documents that pass the base rules; of rows
+    that share a doc_id, one."""
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("long").alias("quality")).where("_id is not null and quality is not null").dropDuplicates(["_id"])
     passed = rows.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").select("doc_id", "x")
-    return passed.join(lab, passed["doc_id"] == lab["_id"]).select("doc_id", "quality", "x")
+    return passed.join(lab, passed["doc_id"] == lab["_id"]).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+
+
+def _sample(rows: DataFrame, n: int, most: int) -> list[list[float]]:
+    """The statistics of the ``most`` of ``n`` rows with the smallest hashes.  Rows that are
+    surely too many stay where they are, so that the driver gets about as many as it needs."""
+    h = F.xxhash64("doc_id")
+    share = (most + 6 * math.sqrt(most) + 10) / max(n, 1)
+    if share < 1:
+        rows = rows.where(h < int(share * 2**64) - 2**63)
+    found = sorted(rows.select(h.alias("h"), "doc_id", "x").collect(), key=lambda r: (r["h"], r["doc_id"]))
+    return [r["x"] for r in found[:most]]
 
 
 def fit(rows: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, good_kept: float = GOOD_KEPT, trees: int = TREES, sample: int = SAMPLE) -> Model:
     """Forest from a bounded sample of the labelled of the ``measured`` rows, threshold from all of them."""
     rows = shared.materialize(_labelled(rows, labels), "labelled")
-    by_hash = rows.orderBy(F.xxhash64("doc_id"), "doc_id")
-    good = [r[0] for r in by_hash.where("quality > 0").limit(max_fit_rows - int(BAD_SHARE * max_fit_rows)).select("x").collect()]
-    bad = [r[0] for r in by_hash.where("quality <= 0").limit(max(4, int(BAD_SHARE * len(good)))).select("x").collect()]
+    n_good, n_bad = rows.agg(F.count(F.when(F.col("quality") > 0, 1)), F.count(F.when(F.col("quality") <= 0, 1))).first()
+    good = _sample(rows.where("quality > 0"), n_good, max_fit_rows - int(BAD_SHARE * max_fit_rows))
+    bad = _sample(rows.where("quality <= 0"), n_bad, max(4, int(BAD_SHARE * len(good))))
     if len(good) + len(bad) < 8:
         return Model(None, 1.0)
     forest = IsolationForest(np.array(good + bad), trees, sample)
@@ -195,7 +203,7 @@ def fit(rows: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, go
         yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(at, pa.int64()), pa.array(total[q, at], pa.int64())], names=["good", "bin", "n"])
 
     counts = np.zeros((2, BINS + 1), np.int64)
-    for r in rows.select("quality", "x").mapInArrow(bins, "good long, bin long, n long").groupBy("good", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("quality", "x").mapInArrow(shared.tidy(bins), "good long, bin long, n long").groupBy("good", "bin").agg(F.sum("n").alias("n")).collect():
         counts[r["good"], r["bin"]] = r["n"]
     return Model(forest, threshold(counts, good_kept))
 
@@ -224,7 +232,7 @@ def judge(rows: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(base_failed(counts)), pa.array(kept), pa.array(score)], names=["doc_id", *COUNTS, "base_failed", "kept", "score"])
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, score double"
-    return rows.select("doc_id", *COUNTS, "x").mapInArrow(work, schema)
+    return rows.select("doc_id", *COUNTS, "x").mapInArrow(shared.tidy(work), schema)
 
 
 def keep_good(documents: DataFrame, model: Model) -> DataFrame:
@@ -236,4 +244,4 @@ def keep_good(documents: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(held.value.verdict(*statistics(b.column(at)))[0]))
 
-    return documents.mapInArrow(work, documents.schema)
+    return shared.bounded(documents).mapInArrow(shared.tidy(work), documents.schema)

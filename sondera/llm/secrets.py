@@ -29,7 +29,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from . import shared
 
 TREES, DEPTH, SEED, TRAIN_ROWS = 40, 9, 17, 6000
 CONTEXT = 48
@@ -258,7 +259,7 @@ def scan(documents: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
                     c = [*zip(*rows, strict=True), p, p >= least]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, (_, t) in zip(c, schema, strict=True)], names=[n for n, _ in schema])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, start long, length long, value_sha256 string, probability double, is_secret boolean")
+    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), "doc_id long, start long, length long, value_sha256 string, probability double, is_secret boolean")
 
 
 def redact(text: str, spans: list[tuple[int, int]], mark: str = "[SECRET]") -> str:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows go to Python in batches of about so many bytes, however long their texts are.
+BATCH_BYTES = 4 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,6 +56,35 @@ def remove(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows, in a session whose batches are bounded by bytes and not by rows alone."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) == "67108864b":  # the default: nobody has set another
+        df.sparkSession.conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def tidy(work):
+    """``work`` over the batches of a task; at its end what it has freed goes back to the
+    system, as the worker process stays for other tasks."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
+def id_and_text(documents: DataFrame) -> DataFrame:
+    """The two columns that operators on texts read."""
+    return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it, on any executor."""
     return pafs.FileSystem.from_uri(uri)

@@ -105,6 +105,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(out ^ ((ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
+def totals(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often the mask holds between each two offsets."""
+    return np.diff(np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])[offsets])
+
+
 def windows(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the k-item windows inside each row, and each row's first window."""
     n = np.maximum(np.diff(first) - k + 1, 0)

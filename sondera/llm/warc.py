@@ -150,7 +150,7 @@ def _http(payload: bytes) -> bytes:
 
 def with_first(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, html and ``first``: the page that a page revisits, or null."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    p = shared.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     same = F.when(F.octet_length("html") >= least, F.sha2("html", 256))
     groups = p.select("page_id", same.alias("same")).where("same is not null and page_id is not null").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Pages without a partner get keys of their own, so they spread over all tasks.
@@ -195,7 +195,7 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "20240101000
             yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([seen["n"] - before], pa.int64()), pa.array([n], pa.int64())], names=["path", "n_records", "n_bytes"])
             number += 1
 
-    return shared.materialize(with_first(pages, least).mapInArrow(put, "path string, n_records long, n_bytes long"), "warc_manifest")
+    return shared.materialize(with_first(pages, least).mapInArrow(shared.tidy(put), "path string, n_records long, n_bytes long"), "warc_manifest")
 
 
 def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -234,7 +234,7 @@ def read(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, warc_date string" + ", payload binary" * payloads
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(work, schema)
+    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(shared.tidy(work), schema)
 
 
 def convert_arc(data: bytes, key_prefix: str = "arc") -> Iterator[bytes]:

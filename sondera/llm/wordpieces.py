@@ -24,7 +24,8 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from . import shared
 
 #: Words that a worker remembers before it forgets all.
 MOST = 600_000
@@ -141,4 +142,4 @@ def count_tokens(documents: DataFrame, vocabulary_path: str) -> DataFrame:
                 c = list(zip(*count_texts(b.column(1).slice(lo, 256).to_pylist(), vocabulary_path), strict=True))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 256), *(pa.array(x, pa.int64()) for x in c)], names=["doc_id", "n_words", "n_tokens", "longest_word_tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n_words long, n_tokens long, longest_word_tokens long")
+    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), "doc_id long, n_words long, n_tokens long, longest_word_tokens long")
