@@ -80,39 +80,39 @@ def _expand(blob: bytes) -> np.ndarray:
 
 
 def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
-    """A table in the shared folder: doc_id, n_tokens, ids (compressed)."""
+    """A table in the shared folder: doc_id, n_tokens, ids (compressed); and from each task
+    a row with ``counts``, how often it met each id (compressed)."""
 
     def work(batches):
-        bpe, end = ByteBpe.of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        bpe, end, total = ByteBpe.of(tokenizer_path), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        names = ["doc_id", "n_tokens", "ids", "counts"]
         for b in batches:
             for lo in range(0, b.num_rows, 32):
                 ids = [x + end for x in bpe.encode(b.column(1).slice(lo, 32).to_pylist())]
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, 32), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary())],
-                    names=["doc_id", "n_tokens", "ids"],
-                )
+                n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 32), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
 
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return shared.materialize(docs.mapInArrow(work, "doc_id long, n_tokens long, ids binary"), "tokens")
+    docs = shared.id_and_text(documents)
+    return shared.materialize(docs.mapInArrow(shared.tidy(work), "doc_id long, n_tokens long, ids binary, counts binary"), "tokens")
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs in the whole corpus; summed in each task first."""
+    """How often each id occurs in the whole corpus, from the tasks' own counts."""
 
     def work(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
             for x in b.column(0).to_pylist():
-                n = np.bincount(_expand(x))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+                n = np.frombuffer(zstandard.decompress(x), "<i8") if x else np.zeros(0, np.int64)
+                total = np.pad(total, (0, max(0, len(n) - len(total))))
+                total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return tokens.select("ids").mapInArrow(work, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.select("counts").where("counts is not null").mapInArrow(shared.tidy(work), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 class Store:
@@ -163,8 +163,8 @@ def write(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, part_
         path, _ = shared.write_file(folder, f"part-{part:08d}", blocks(batches, seen))
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int64()), (path, pa.string()), (seen["docs"], pa.int64()), (seen["ids"], pa.int64()))], names=["part", "path", "n_docs", "n_ids"])
 
-    ordered = tokens.select("doc_id", "ids").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    manifest = shared.materialize(ordered.mapInArrow(put, "part long, path string, n_docs long, n_ids long"), "manifest")
+    ordered = tokens.where("counts is null").select("doc_id", "ids").repartitionByRange(n_parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    manifest = shared.materialize(ordered.mapInArrow(shared.tidy(put), "part long, path string, n_docs long, n_ids long"), "manifest")
     shared.remove(tokens)
     # A row per part file of many million ids, so one task can sum them.
     base = F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -200,4 +200,4 @@ def read(spark: SparkSession, store: Store, with_ids: bool = False) -> DataFrame
     if with_ids:
         schema = schema.add("ids", S.ArrayType(S.IntegerType()))
     n = max(1, store.manifest.count())
-    return store.manifest.select("path", "base").repartition(n, "path").mapInArrow(work, schema)
+    return store.manifest.select("path", "base").repartition(n, "path").mapInArrow(shared.tidy(work), schema)
