@@ -27,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_passages(docs)
     words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
     out = out.where(~((F.col("_chunks_removed") > 0) & (words < LEAST_WORDS)))
     if "n_chars" in docs.columns:

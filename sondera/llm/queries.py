@@ -45,7 +45,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+    out = linededup.dedup_passages(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "text", F.col("_chunks_removed").alias("chunks_removed"), F.col("_chars_removed").alias("chars_removed"))
 
 
