@@ -1,8 +1,7 @@
 """Corpus preparation in five stages, each on all that the one before has kept.
 
 Quality rules drop rejected documents; line dedup cuts repeated passages, and
-drops documents of which fewer words are left than the quality rules ask for
-(remains of copies); MinHash near-dedup keeps one
+drops documents of which no words are left (copies); MinHash near-dedup keeps one
 document of each group; decontamination drops documents with benchmark
 passages; best-fit packing lays the rest into sequences.  Each stage but the
 last returns the columns of ``documents``.
@@ -18,8 +17,6 @@ from sondera.llm import decontaminate, linededup, neardup, packing, quality, sha
 
 #: The packing and the classifier have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-#: As in the base quality rule.
-LEAST_WORDS = 50
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup_passages(docs)
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    out = out.where(~((F.col("_chunks_removed") > 0) & (words < LEAST_WORDS)))
+    out = out.where((F.col("_chunks_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         changed = F.when(F.col("_chunks_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
         out = out.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
