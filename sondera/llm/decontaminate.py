@@ -10,8 +10,8 @@ window of its own length; documents are searched for each such length with
 ``w = 1``.
 
 Only the benchmark is held in memory, in blocks of at most ``block_words``
-words; each block scans the documents once and the blocks' hits are united per
-document.
+words; with several blocks the documents are written once with a number for each
+row, each block scans them, and the blocks' hits are united per row.
 
 Defined results: null or empty text has no words, is never contaminated and
 has ``n_items`` 0; an item without words is never found; repeated rows give
@@ -20,6 +20,8 @@ repeated results; an empty benchmark hits nothing; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -140,8 +142,9 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield [(r[0], r[1]) for r in part.collect()]
 
 
-def scan(documents: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, k: int = KGRAM) -> DataFrame:
-    """Hits of one block: per document the covered words as a bit string and the items."""
+def scan(documents: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, k: int = KGRAM, numbered: bool = False) -> DataFrame:
+    """Hits of one block: per row the covered words as a bit string and the items.
+    ``numbered`` rows are (doc_id, text, row), and keep their number."""
     spark = documents.sparkSession
     index = spark.sparkContext.broadcast(Index(items, window, k))
 
@@ -160,11 +163,14 @@ def scan(documents: DataFrame, items: list[tuple[str, str]], window: int = WINDO
                     by_row.setdefault(r, set()).add(x)
                 bits = [np.packbits(hit[first[r] : first[r + 1]]).tobytes() if r in by_row else None for r in range(j - i)]
                 out = [[names[x] for x in sorted(by_row[r])] if r in by_row else [] for r in range(j - i)]
+                number = [batch.column(2).slice(i, j - i)] if numbered else []
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(T.totals(hit, first), pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.list_(pa.string()))],
-                    names=["doc_id", "n_words", "n_hit", "hit", "items"],
+                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(T.totals(hit, first), pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.list_(pa.string())), *number],
+                    names=["doc_id", "n_words", "n_hit", "hit", "items", *["row"] * numbered],
                 )
 
+    if numbered:
+        return shared.bounded(documents).mapInArrow(shared.tidy(work), SCHEMA + ", row long")
     return shared.id_and_text(documents).mapInArrow(shared.tidy(work), SCHEMA)
 
 
@@ -173,15 +179,17 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
     A document is contaminated where at least a twentieth of its words are hit.
     """
-    parts = [scan(documents, items, window, k) for items in blocks(benchmark, block_words)]
-    if len(parts) == 1:
-        found = parts[0]
+    parts = blocks(benchmark, block_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        found = scan(documents, first, window, k)
     else:
-        # One row per document and block; the doc_id identifies a document here.
-        union = parts[0]
-        for p in parts[1:]:
-            union = union.unionByName(p)
-        found = union.groupBy("doc_id").applyInArrow(_unite, SCHEMA)
+        # One row per row of the documents and block; a written number tells rows of one doc_id apart.
+        rows = shared.materialize(shared.id_and_text(documents).withColumn("row", F.monotonically_increasing_id()), "numbered")
+        union = scan(rows, first, window, k, numbered=True)
+        for p in chain([second], parts):
+            union = union.unionByName(scan(rows, p, window, k, numbered=True))
+        found = union.groupBy("row").applyInArrow(_unite, SCHEMA)
 
     out = found.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
