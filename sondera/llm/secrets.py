@@ -1,7 +1,7 @@
 """Secret scan with a random forest against false positives.
 
 Candidates are runs of 16 or more key-like characters (values behind an
-assignment from 8), private key blocks and URLs with passwords.  A random
+assignment from 8), however long, private key blocks and URLs with passwords.  A random
 forest judges each candidate by its length, character classes and transitions,
 entropy, dictionary coverage, whether it is a path, URL or date, and the words
 before and after it.  The dictionary is the letter bigrams and words of plain
@@ -37,9 +37,9 @@ CONTEXT = 48
 
 _CANDIDATE = re.compile(
     r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?(?:-----END [A-Z0-9 ]*PRIVATE KEY-----|\Z)"
-    r"|(?<=://)[^\s/:@]{1,64}:[^\s/:@]{3,128}(?=@)"
-    r"|(?:(?<=[=:]\s[\"'`])|(?<=[=:][\"'`])|(?<=[=:>]\s)|(?<=[=:]))[A-Za-z0-9_+/.\-~!@#$%^&*]{8,512}={0,2}(?=[\"'`\s,;)&\]}]|\Z|$)"
-    r"|(?<![A-Za-z0-9_+/.\-])[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,511}[A-Za-z0-9_+/\-]={0,2}",
+    r"|(?<=://)[^\s/:@]+:[^\s/:@]{3,}(?=@)"
+    r"|(?:(?<=[=:]\s[\"'`])|(?<=[=:][\"'`])|(?<=[=:>]\s)|(?<=[=:]))[A-Za-z0-9_+/.\-~!@#$%^&*]{8,}={0,2}(?=[\"'`\s,;)&\]}]|\Z|$)"
+    r"|(?<![A-Za-z0-9_+/.\-])[A-Za-z0-9][A-Za-z0-9_+/.\-]{14,}[A-Za-z0-9_+/\-]={0,2}",
     re.S,
 )
 _NAME = re.compile(r"(?:api|access|auth|secret|private|client|session|signing|encryption)?[_\-. ]?(?:key|token|secret|passw(?:or)?d|pwd|passphrase|credential|bearer|authorization|auth)\b", re.I)
@@ -83,7 +83,7 @@ def _kinds(v: str) -> list[int]:
 
 
 def features(value: str, before: str, after: str) -> list[float]:
-    v = value[:512]
+    v = value
     n = len(v)
     count = Counter(v)
     kinds = _kinds(v)
