@@ -33,6 +33,13 @@ def topk_nulls_last(spark, sf_dir):
     return search.top(ix, search.Request(max_hits=50, sort=[("price", False)]))
 
 
+@query("SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders) ORDER BY price ASC NULLS LAST, o_orderkey ASC LIMIT 50")
+def topk_nulls_last_all(spark, sf_dir):
+    """As ``topk_nulls_last``, over all orders."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"))
+    return search.top(Index(df), search.Request(max_hits=50, sort=[("price", False)]))
+
+
 @query("SELECT event_id, user_id FROM events ORDER BY user_id DESC, event_id DESC LIMIT 40")
 def topk_tiebreak(spark, sf_dir):
     return search.top(index(spark, sf_dir, "events"), search.Request(max_hits=40, sort=[("user_id", True)])).select("event_id", "user_id")
