@@ -8,7 +8,9 @@ segment tree over the remaining capacities finds that bin in logarithmic time.
 Pieces of equal length are interchangeable, so the plan is made on the
 histogram of lengths, which has at most ``capacity`` rows for any input: bins
 of equal content form a range of bin numbers, and each step moves a whole range
-at once.  The result is that of best-fit decreasing over all pieces, one at a
+at once.  Each step uses up a length or a range of bins, so the number of ranges
+depends on the capacity (some 48,000 of 40 bytes at 4096, measured up to 10^8
+pieces) and not on the pieces.  The result is that of best-fit decreasing over all pieces, one at a
 time.  The plan's ranges are then joined with each piece's rank among the
 pieces of its length, so no task or driver ever holds the corpus.
 
@@ -29,11 +31,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .bpe import WordBpe
+from .bpe import WordBpe, ended
 
 CAPACITY, END_ID = 4096, 1
-#: The most ranges that are broadcast; the plan of a capacity of 4096 has far fewer.
-MOST_RANGES = 4_000_000
 
 
 class FreeTree:
@@ -99,8 +99,6 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
                 push(r - left * length, first + full, 1)
                 left, full = 0, full + 1
             push(r, first + full, n - full)
-    if len(out) > MOST_RANGES:
-        raise ValueError(f"the plan has {len(out)} ranges")
     return np.array(sorted(out), np.int64).reshape(-1, 5), n_bins
 
 
@@ -112,24 +110,23 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def work(batches):
         bpe, part, seen = WordBpe.of(tokenizer_path), TaskContext.get().partitionId(), {}
         pack = zstandard.ZstdCompressor(level=1)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            texts = batch.column(1)
-            for lo in range(0, batch.num_rows, 32):
-                rows = []
-                ids_of = bpe.encode(texts.slice(lo, 32).to_pylist())
-                for doc, ids in zip(batch.column(0).slice(lo, 32).to_pylist(), ids_of, strict=True):
-                    ids += end
-                    for p in range(0, len(ids), 4 * capacity):
-                        one = ids[p : p + 4 * capacity]
-                        n = len(one) // 4
-                        seen[n] = k = seen.get(n, -1) + 1
-                        rows.append((doc, p // (4 * capacity), p // 4, n, part, k, pack.compress(np.ascontiguousarray(np.frombuffer(one, np.uint8).reshape(-1, 4).T).tobytes())))
-                c = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.int32()), pa.array(c[5], pa.int64()), pa.array(c[6], pa.binary())],
-                    names=["doc_id", "piece", "start", "length", "part", "k", "ids"],
-                )
+            ids, at = ended(*bpe.encode_column(batch.column(1)), end_id)
+            planes = np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+            n_pieces = -(-np.diff(at) // capacity)
+            row = np.repeat(np.arange(batch.num_rows), n_pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            start = piece * capacity
+            length = np.minimum(np.diff(at)[row] - start, capacity)
+            k = np.empty(len(row), np.int64)
+            for i, n in enumerate(length.tolist()):
+                seen[n] = k[i] = seen.get(n, -1) + 1
+            first = (at[row] + start).tolist()
+            packed = [pack.compress(np.ascontiguousarray(planes[:, a : a + n])) for a, n in zip(first, length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(np.full(len(row), part), pa.int32()), pa.array(k), pa.array(packed, pa.binary())],
+                names=["doc_id", "piece", "start", "length", "part", "k", "ids"],
+            )
 
     docs = shared.id_and_text(documents)
     return shared.materialize(docs.mapInArrow(shared.tidy(work), "doc_id long, piece int, start long, length long, part int, k long, ids binary"), "pieces")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from . import shared
-from .bpe import ByteBpe
+from .bpe import ByteBpe, ended
 
 END_ID, BLOCK_IDS, PART_IDS = 0, 1 << 20, 1 << 24
 _HEAD = "<4sIQQQ"
@@ -69,13 +69,13 @@ def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _squeeze(ids: bytes) -> bytes:
-    planes = np.frombuffer(ids, np.uint8).reshape(-1, 4).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+def _squeeze(ids: np.ndarray, pack: zstandard.ZstdCompressor) -> bytes:
+    planes = ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T
+    return pack.compress(np.ascontiguousarray(planes))
 
 
-def _expand(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(blob), np.uint8).reshape(4, -1)
+def _expand(blob: bytes, unpack: zstandard.ZstdDecompressor) -> np.ndarray:
+    planes = np.frombuffer(unpack.decompress(blob), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -84,15 +84,15 @@ def tokenized(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID) -
     a row with ``counts``, how often it met each id (compressed)."""
 
     def work(batches):
-        bpe, end, total = ByteBpe.of(tokenizer_path), np.array([end_id], "<u4").tobytes(), np.zeros(0, np.int64)
+        bpe, total, pack = ByteBpe.of(tokenizer_path), np.zeros(0, np.int64), zstandard.ZstdCompressor(level=3)
         names = ["doc_id", "n_tokens", "ids", "counts"]
         for b in batches:
-            for lo in range(0, b.num_rows, 32):
-                ids = [x + end for x in bpe.encode(b.column(1).slice(lo, 32).to_pylist())]
-                n = np.bincount(np.frombuffer(b"".join(ids), "<u4"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 32), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([_squeeze(x) for x in ids], pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+            ids, at = ended(*bpe.encode_column(b.column(1)), end_id)
+            n = np.bincount(ids, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            packed = [_squeeze(ids[a:z], pack) for a, z in zip(at.tolist(), at[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at), pa.int64()), pa.array(packed, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zstandard.compress(total.astype("<i8").tobytes(), 1)], pa.binary())], names=names)
 
     docs = shared.id_and_text(documents)
@@ -135,10 +135,10 @@ def write(documents: DataFrame, tokenizer_path: str, end_id: int = END_ID, part_
     n_parts = max(1, -(-sum(n for n, _ in counted) // part_ids))
 
     def blocks(batches, seen):
-        docs, size = [], 0
+        docs, size, unpack = [], 0, zstandard.ZstdDecompressor()
         for b in batches:
             for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                docs.append((doc, ranks.value[_expand(x)]))
+                docs.append((doc, ranks.value[_expand(x, unpack)]))
                 size += len(docs[-1][1])
                 if size >= BLOCK_IDS:
                     yield from block(docs, seen)
