@@ -4,36 +4,37 @@ Both sides are cut into k-grams of words and winnowed: of each ``w``
 consecutive k-grams the one with the smallest hash is kept, with
 ``k + w - 1 = window``.  Two texts that share a span of ``window`` words select
 the same k-gram inside it, so the join of the fingerprints misses no shared
-span.  Each joined fingerprint is extended to the whole windows around it,
-which are compared word by word.  An item of fewer words than a window is one
+span.  Each joined fingerprint is extended to the whole windows around it.  An item of fewer words than a window is one
 window of its own length; documents are searched for each such length with
 ``w = 1``.
 
-Only the benchmark is held in memory, in blocks of at most ``block_words``
-words; with several blocks the documents are written once with a number for each
-row, each block scans them, and the blocks' hits are united per row.
+Both sides stay in Spark.  A window's fingerprint is the smallest hash of its k-grams;
+the benchmark's distinct windows and the documents' candidates are joined by fingerprint
+and compared word by word.  What goes to every task is a bit array of fixed size (16 MB,
+see ``members``) of the benchmark's fingerprints, which keeps all else out of the shuffle;
+a benchmark that fills the bits makes the shuffle larger and leaves the result as it is.
+The join is dealt over :data:`SALTS` parts of each fingerprint, as a passage may stand in
+a third of all documents.
 
 Defined results: null or empty text has no words, is never contaminated and
-has ``n_items`` 0; an item without words is never found; repeated rows give
-repeated results; an empty benchmark hits nothing; other columns are ignored.
+has ``n_items`` 0; an item without words or id is never found; items of one id are one
+item; each row is judged by itself, also where rows are equal or share a doc_id or have
+none; an empty benchmark hits nothing; other columns are ignored by
+:func:`decontaminate` and kept by :func:`keep_clean`.
 """
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import members, shared
 from . import text as T
 
-WINDOW, KGRAM, BLOCK_WORDS = 13, 7, 2_000_000
-
-SCHEMA = "doc_id long, n_words long, n_hit long, hit binary, items array<string>"
-
+WINDOW, KGRAM, SALTS = 13, 7, 16
 
 def winnow(h: np.ndarray, w: int) -> np.ndarray:
     """Positions of the rightmost smallest hash of each ``w`` consecutive hashes;
@@ -71,142 +72,128 @@ def _words(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return data, s, e, first
 
 
-class Index:
-    """Winnowed fingerprints and exact windows of one block of the benchmark."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = KGRAM):
-        self.window, self.k = window, k
-        self.by_length: dict[int, tuple] = {}
-        found: dict[int, dict[bytes, set[int]]] = {}
-        self.names = sorted({i for i, _ in items})
-        number = {i: n for n, i in enumerate(self.names)}
-        for name, text in items:
-            data, s, e, _ = _words(pa.array([text]))
-            ws = [data[a:b].tobytes() for a, b in zip(s, e, strict=True)]
-            size = min(window, len(ws))
-            for i in range(len(ws) - size + 1) if ws else ():
-                found.setdefault(size, {}).setdefault(b" ".join(ws[i : i + size]), set()).add(number[name])
-        for size, wins in found.items():
-            texts = list(wins)
-            joined = pa.array([t.decode() for t in texts])
-            data, s, e, first = _words(joined)
+def grams(size: int, window: int, k: int) -> tuple[int, int]:
+    """The k-gram length of windows of ``size`` words, and how many k-grams a window has."""
+    k = min(k, size) if size == window else size
+    return k, size - k + 1
+
+
+def candidates(h: np.ndarray, first: np.ndarray, size: int, k: int, w: int, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and fingerprints of the windows whose smallest k-gram hash may be one of
+    the benchmark's; they lie around a k-gram that may be."""
+    pos, wo = T.windows(first, k)
+    g = T.window_hashes(h, pos, k)
+    at = np.flatnonzero(members.has(bits, g >> T.U64(64 - members.BITS)))
+    if not len(at):
+        return at, g[:0].view(np.int64)
+    row = np.searchsorted(wo, at, "right") - 1
+    near = at[:, None] - np.arange(w)
+    inside = (near >= wo[row][:, None]) & (near + w <= wo[row + 1][:, None])
+    near = np.unique(near[inside])
+    fp = g[near[:, None] + np.arange(w)].min(axis=1) if len(near) else g[:0]
+    keep = members.has(bits, fp >> T.U64(64 - members.BITS))
+    return pos[near[keep]], fp[keep].view(np.int64)
+
+
+def _join_words(d: np.ndarray, s: np.ndarray, e: np.ndarray, at: np.ndarray, size: int) -> list[bytes]:
+    return [b" ".join(d[s[q] : e[q]].tobytes() for q in range(p, p + size)) for p in at.tolist()]
+
+
+def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """The distinct windows: fp, words, size, and the items that have them (sorted)."""
+
+    def work(batches):
+        for b in batches:
+            data, s, e, first = _words(b.column(1))
             h = T.span_hashes(data, s, e)
-            wh = T.window_hashes(h, first[:-1], size)
-            order = np.argsort(wh, kind="stable")
-            k = self.grams(size)[0]
-            fps = np.unique(selected(h, first, k, size - k + 1)[1])
-            self.by_length[size] = (fps, wh[order], [texts[i] for i in order], [sorted(wins[texts[i]]) for i in order])
-
-    def grams(self, size: int) -> tuple[int, int]:
-        k = self.k if size == self.window else size
-        return k, size - k + 1
-
-    def hits(self, data, s, e, h, first):
-        """Covered words, and pairs of row and item."""
-        hit = np.zeros(len(s) + 1, np.int64)
-        rows: list[int] = []
-        items: list[int] = []
-        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        for size, (fps, wh, texts, of) in self.by_length.items():
-            k, w = self.grams(size)
-            pos, g = selected(h, first, k, w)
-            if not len(pos) or not len(fps):
-                continue
-            at = np.minimum(np.searchsorted(fps, g), len(fps) - 1)
-            pos = pos[fps[at] == g]
-            if not len(pos):
-                continue
-            near = np.unique((pos[:, None] - np.arange(w)[None, :]).ravel())
-            near = near[(near >= 0) & (near + size <= len(s))]
-            near = near[row[near] == row[near + size - 1]]
-            x = T.window_hashes(h, near, size)
-            lo, hi = np.searchsorted(wh, x), np.searchsorted(wh, x, "right")
-            for p, a, b in zip(near[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                words = b" ".join(data[s[q] : e[q]].tobytes() for q in range(p, p + size))
-                for c in range(a, b):
-                    if texts[c] == words:
-                        hit[p] += 1
-                        hit[p + size] -= 1
-                        rows.extend([row[p]] * len(of[c]))
-                        items.extend(of[c])
-        return np.cumsum(hit[:-1]) > 0, rows, items
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """The benchmark in parts of about ``block_words`` words at most."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
-    size = b.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-size // (6 * block_words)))
-    for i in range(n):
-        part = b.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).distinct() if n > 1 else b.distinct()
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
-def scan(documents: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, k: int = KGRAM, numbered: bool = False) -> DataFrame:
-    """Hits of one block: per row the covered words as a bit string and the items.
-    ``numbered`` rows are (doc_id, text, row), and keep their number."""
-    spark = documents.sparkSession
-    index = spark.sparkContext.broadcast(Index(items, window, k))
+            for r in range(b.num_rows):
+                n = int(first[r + 1] - first[r])
+                if not n:
+                    continue
+                size = min(window, n)
+                kk, w = grams(size, window, k)
+                pos, _ = T.windows(first[r : r + 2], size)
+                g = T.window_hashes(h, np.arange(first[r], first[r + 1] - kk + 1), kk)
+                fp = np.lib.stride_tricks.sliding_window_view(g, w).min(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp.view(np.int64)), pa.array(_join_words(data, s, e, pos, size), pa.binary()), pa.array(np.full(len(pos), size), pa.int32()), pa.array([b.column(0)[r].as_py()] * len(pos), pa.string())],
+                    names=["fp", "words", "size", "item_id"],
+                )
+
+    b = shared.bounded(benchmark).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    return b.mapInArrow(shared.tidy(work), "fp long, words binary, size int, item_id string").groupBy("fp", "words", "size").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+
+
+_SCANNED = "row long, doc_id long, text_hash long, n_words long, fp long, at int, size int, words binary"
+
+
+def scan(documents: DataFrame, sizes: list[int], bits: np.ndarray, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """A row per row of the documents (fp is null), with a number of its own, and a row per
+    candidate window."""
+    held = documents.sparkSession.sparkContext.broadcast(bits)
+    names = [c.split()[0] for c in _SCANNED.split(", ")]
 
     def work(batches):
-        ix = index.value
-        names = ix.names
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             data, off = T.buffers(batch.column(1))
             for i, j in T.slices(off):
                 d = T.LOWER[data[off[i] : off[j]]]
                 s, e, first = T.split_words(d, off[i : j + 1] - off[i], T.ALNUM)
+                none = lambda t, n=j - i: pa.nulls(n, t)
+                doc, hashes = batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i)
+                rows = number + np.arange(j - i)
+                number += j - i
+                yield pa.RecordBatch.from_arrays([pa.array(rows), doc, hashes, pa.array(np.diff(first), pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.binary())], names=names)
                 h = T.span_hashes(d, s, e)
-                hit, rows, found = ix.hits(d, s, e, h, first)
-                by_row: dict[int, set[int]] = {}
-                for r, x in zip(rows, found, strict=True):
-                    by_row.setdefault(r, set()).add(x)
-                bits = [np.packbits(hit[first[r] : first[r + 1]]).tobytes() if r in by_row else None for r in range(j - i)]
-                out = [[names[x] for x in sorted(by_row[r])] if r in by_row else [] for r in range(j - i)]
-                number = [batch.column(2).slice(i, j - i)] if numbered else []
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.diff(first), pa.int64()), pa.array(T.totals(hit, first), pa.int64()), pa.array(bits, pa.binary()), pa.array(out, pa.list_(pa.string())), *number],
-                    names=["doc_id", "n_words", "n_hit", "hit", "items", *["row"] * numbered],
-                )
+                for size in sizes:
+                    at, fp = candidates(h, first, size, *grams(size, window, k), held.value)
+                    for lo in range(0, len(at), 4096):
+                        p = at[lo : lo + 4096]
+                        r = np.searchsorted(first, p, "right") - 1
+                        no = pa.nulls(len(p), pa.int64())
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[r]), no, no, no, pa.array(fp[lo : lo + 4096]), pa.array(p - first[r], pa.int32()), pa.array(np.full(len(p), size), pa.int32()), pa.array(_join_words(d, s, e, p, size), pa.binary())], names=names)
 
-    if numbered:
-        return shared.bounded(documents).mapInArrow(shared.tidy(work), SCHEMA + ", row long")
-    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), SCHEMA)
+    docs = shared.id_and_text(documents).withColumn("text_hash", F.xxhash64("text"))
+    return docs.mapInArrow(shared.tidy(work), _SCANNED)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, items (found item ids, sorted), contaminated.
+def _found(documents: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
+    spark = documents.sparkSession
+    wins = shared.materialize(benchmark_windows(benchmark, window, k), "benchmark_windows")
+    # One number for each length of a window, of which there are at most ``window``.
+    sizes = sorted(r[0] for r in wins.select("size").distinct().collect())
+    bits = members.bits(wins.select(F.shiftrightunsigned("fp", 64 - members.BITS).alias("at")))
+    scanned = shared.materialize(scan(documents, sizes, bits, window, k), "scanned")
+    rows = scanned.where("fp is null").select("row", "doc_id", "text_hash", "n_words")
+    # Equal candidates of one row differ in place only; each meets at most one window.
+    asked = scanned.where("fp is not null").select("row", "at", "fp", "words", F.pmod("row", F.lit(SALTS)).alias("salt"))
+    salted = wins.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    hits = asked.join(salted, ["fp", "words", "salt"]).select("row", "at", "size", "items")
+    per_row = hits.groupBy("row").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(at, at + size - 1)"))))).cast("long").alias("n_hit"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
+    )
+    out = rows.join(per_row, "row", "left").select(
+        "doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
+    )
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """Per row: doc_id, n_words, n_hit, items (found item ids, sorted), contaminated.
 
     A document is contaminated where at least a twentieth of its words are hit.
     """
-    parts = blocks(benchmark, block_words)
-    first, second = next(parts), next(parts, None)
-    if second is None:
-        found = scan(documents, first, window, k)
-    else:
-        # One row per row of the documents and block; a written number tells rows of one doc_id apart.
-        rows = shared.materialize(shared.id_and_text(documents).withColumn("row", F.monotonically_increasing_id()), "numbered")
-        union = scan(rows, first, window, k, numbered=True)
-        for p in chain([second], parts):
-            union = union.unionByName(scan(rows, p, window, k, numbered=True))
-        found = union.groupBy("row").applyInArrow(_unite, SCHEMA)
-
-    out = found.select("doc_id", "n_words", "n_hit", F.array_sort("items").alias("items"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return _found(documents, benchmark, window, k).drop("text_hash")
 
 
-def _unite(table: pa.Table) -> pa.Table:
-    rows = table.to_pylist()
-    hit = None
-    for r in rows:
-        if r["hit"] is not None:
-            x = np.frombuffer(r["hit"], np.uint8)
-            hit = x if hit is None else hit | x
-    items = sorted({x for r in rows for x in r["items"]})
-    return pa.table(
-        [pa.array([rows[0]["doc_id"]], pa.int64()), pa.array([rows[0]["n_words"]], pa.int64()), pa.array([0 if hit is None else int(np.unpackbits(hit).sum())], pa.int64()), pa.array([None if hit is None else hit.tobytes()], pa.binary()), pa.array([items], pa.list_(pa.string()))],
-        names=["doc_id", "n_words", "n_hit", "hit", "items"],
-    )
+def keep_clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = KGRAM) -> DataFrame:
+    """The rows that are not contaminated, with all their columns.  A row is told by its
+    doc_id and its text, so rows that share a doc_id, or have none, go one by one."""
+    gone = _found(documents, benchmark, window, k).where("contaminated").select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_text")).distinct()
+    same = documents["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & F.xxhash64(documents["text"].cast("string")).eqNullSafe(gone["_gone_text"])
+    return documents.join(gone, same, "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -22,9 +22,8 @@ def _place(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(1 << BITS))
 
 
-def bitmap(ids: DataFrame, column: str) -> np.ndarray:
-    """The bits of a column's ids as bytes."""
-    at = ids.select(_place(F.col(column)).alias("at")).distinct()
+def bits(at: DataFrame) -> np.ndarray:
+    """The bits of the places ``at``, below ``2 ** BITS``, as bytes."""
 
     def pack(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << SEGMENT_BITS, bool)
@@ -33,11 +32,22 @@ def bitmap(ids: DataFrame, column: str) -> np.ndarray:
 
     out = np.zeros(1 << (BITS - 3), np.uint8)
     size = 1 << (SEGMENT_BITS - 3)
-    for r in at.withColumn("segment", F.shiftright("at", SEGMENT_BITS)).groupBy("segment").applyInArrow(pack, "segment long, bits binary").collect():
+    for r in at.distinct().withColumn("segment", F.shiftright("at", SEGMENT_BITS)).groupBy("segment").applyInArrow(pack, "segment long, bits binary").collect():
         out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def has(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the bits at the places are set."""
+    at = at.astype(np.int64)
+    return (held[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(ids: DataFrame, column: str) -> np.ndarray:
+    """The bits of a column's ids as bytes."""
+    return bits(ids.select(_place(F.col(column)).alias("at")))
+
+
 def near_set(rows: DataFrame, column: str, ids: DataFrame, id_column: str, work, schema: str) -> DataFrame:
     """``work`` of the Arrow batches of those rows whose ``column`` may be among the ids."""
     held = rows.sparkSession.sparkContext.broadcast(bitmap(ids, id_column))
@@ -45,8 +55,7 @@ def near_set(rows: DataFrame, column: str, ids: DataFrame, id_column: str, work,
 
     def some(batches):
         for b in batches:
-            at = b.column(last).to_numpy()
-            hit = np.flatnonzero(held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            hit = np.flatnonzero(has(held.value, b.column(last).to_numpy()))
             if len(hit):
                 yield b.take(pa.array(hit)).select(range(last))
 

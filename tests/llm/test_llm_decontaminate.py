@@ -52,12 +52,12 @@ def _cases():
     return docs, items
 
 
-@pytest.mark.parametrize("block_words", [dc.BLOCK_WORDS, 60])
-def test_hits_equal_the_plain_ones(spark, block_words):
+@pytest.mark.parametrize("full", [False, True])
+def test_hits_equal_the_plain_ones(spark, full, monkeypatch):
     docs, items = _cases()
-    if block_words == 60:  # blocks are united by doc_id
-        docs = [d for d in docs if d[0] is not None and d[0] != 4]
-    got = dc.decontaminate(documents(spark, docs), _bench(spark, items), block_words=block_words)
+    if full:  # as of a benchmark that sets all bits: every window is a candidate
+        monkeypatch.setattr(dc.members, "bits", lambda at: np.full(1 << (dc.members.BITS - 3), 255, np.uint8))
+    got = dc.decontaminate(documents(spark, docs), _bench(spark, items))
     assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], list(r["items"]), r["contaminated"]) for r in got.collect()], key=repr) == _want(docs, items)
 
 
@@ -92,3 +92,13 @@ def test_a_very_long_text(spark):
     text = sentence(r, 100_000) + " " + item + " " + sentence(r, 100_000)
     got = dc.decontaminate(documents(spark, [(1, text)]), _bench(spark, [("i", item)])).first()
     assert (got["n_words"], got["n_hit"], got["contaminated"]) == (200_020, 20, False)
+
+
+def test_clean_rows_stay_whatever_their_ids(spark):
+    docs, items = _cases()
+    docs += [(4, "words of its own " * 20), (4, items[5][1]), (None, "no id but clean"), (None, None), (7, ""), (7, None)]
+    bad = {(d, t) for (d, t) in docs if _want([(d, t)], items)[0][4]}
+    got = dc.keep_clean(documents(spark, docs), _bench(spark, items))
+    assert got.columns == documents(spark, []).columns
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or "")
+    assert sorted([(r["doc_id"], r["text"]) for r in got.collect()], key=key) == sorted([d for d in docs if d not in bad], key=key)
