@@ -4,13 +4,18 @@ A document first meets two fixed rules (too few words; more than half of the
 words in repeated three-word windows).  Of those that pass, an isolation forest
 tells the anomalous ones: each tree splits a small sample at random values of
 random statistics, and a document that few splits set apart from the rest has a
-short path.  The forest is fitted on at most ``max_fit_rows`` labelled rows (a
-documented bound, taken in the order of a hash of the doc_id), of which good
-ones and so many bad ones that they are rare among them.  The threshold comes
-from the score histogram of all labelled rows.
+short path.  All statistics of the rules take part.  How likely a split takes one
+follows from the labelled rows: it is the square of the largest distance between the
+classes' distributions of that statistic, as a statistic that varies alike in both
+only lengthens and shortens paths at random.  The forest is fitted on at most
+``max_fit_rows`` labelled rows (a documented bound, half of them of each class, taken
+in the order of a hash of the doc_id), of which good ones and so many bad ones that
+they are rare among them.  The threshold comes from the score histogram of all
+labelled rows.
 
 Defined results: null and empty text has no words and fails the base rules; a
-label without a document, or with a null, is not used; where no labelled row
+label without a document, or with a null, is not used, nor are labels of one doc_id
+that disagree; where no labelled row
 remains, or only one class, only the base rules decide; repeated rows are each
 judged; other columns pass through :func:`keep_good` unchanged.
 """
@@ -32,9 +37,10 @@ MAX_FIT_ROWS, BAD_SHARE, TREES, SAMPLE, BINS, SEED = 20_000, 0.05, 200, 128, 200
 GOOD_KEPT = 0.995
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-#: Statistics that vary freely among good documents only lengthen and shorten paths at
-#: random; these part the classes, the symbols a word on three scales.
-FEATURES = ["mean_chars", "symbols", "symbols_root", "symbols_log"]
+#: Symbols a word on three scales; shares of the lines with a word and of the words.
+FEATURES = ["mean_chars", "symbols", "symbols_root", "symbols_log", "dup_lines", "repeat_words", "log_words"]
+#: The least chance of a statistic relative to one that parts the classes wholly.
+LEAST_CHANCE = 1e-4
 
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _CHAR = (np.arange(256) & 0xC0) != 0x80
@@ -75,7 +81,8 @@ def statistics(texts) -> tuple[np.ndarray, np.ndarray]:
                     rep[r] = cover.sum()
         counts[i:j] = np.stack([n, chars, symbols, dup, rep], axis=1)
         per_word = symbols / np.maximum(n, 1)
-        feats[i:j] = np.stack([chars / np.maximum(n, 1), per_word, np.sqrt(per_word), np.log1p(100 * per_word)], axis=1)
+        some = np.maximum(n, 1)
+        feats[i:j] = np.stack([chars / some, per_word, np.sqrt(per_word), np.log1p(100 * per_word), dup / np.maximum(T.totals(worded, lfirst), 1), rep / some, np.log1p(n)], axis=1)
     return counts, feats
 
 
@@ -92,15 +99,16 @@ def _usual_path(n) -> np.ndarray:
 class IsolationForest:
     """Trees as arrays of nodes; scores are 2 ** (-mean path / usual path)."""
 
-    def __init__(self, x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED):
+    def __init__(self, x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED, chances: np.ndarray | None = None):
         rng = np.random.default_rng(seed)
         sample = min(sample, len(x))
         deepest = max(1, math.ceil(math.log2(max(sample, 2))))
         self.usual = float(_usual_path(sample)) or 1.0
-        self.trees = [self._grow(x[rng.choice(len(x), sample, replace=False)], deepest, rng) for _ in range(trees)]
+        chances = np.ones(x.shape[1]) if chances is None else chances
+        self.trees = [self._grow(x[rng.choice(len(x), sample, replace=False)], deepest, rng, chances) for _ in range(trees)]
 
     @staticmethod
-    def _grow(x: np.ndarray, deepest: int, rng) -> tuple[np.ndarray, ...]:
+    def _grow(x: np.ndarray, deepest: int, rng, chances: np.ndarray) -> tuple[np.ndarray, ...]:
         feature, cut, left, value = [], [], [], []
 
         def node() -> int:
@@ -116,7 +124,7 @@ class IsolationForest:
             if depth >= deepest or len(rows) < 2 or not len(can):
                 value[at] = depth + float(_usual_path(len(rows)))
                 continue
-            f = int(rng.choice(can))
+            f = int(rng.choice(can, p=chances[can] / chances[can].sum()))
             c = float(rng.uniform(low[f], high[f]))
             feature[at], cut[at] = f, c
             a, b = node(), node()
@@ -150,6 +158,16 @@ class Model:
         return passed & (score <= self.threshold), score
 
 
+def separation(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """The largest distance between the two distributions of each statistic, squared."""
+    out = np.zeros(good.shape[1])
+    for c in range(len(out)):
+        g, b = np.sort(good[:, c]), np.sort(bad[:, c])
+        at = np.concatenate([g, b])
+        out[c] = np.abs(np.searchsorted(g, at, "right") / len(g) - np.searchsorted(b, at, "right") / len(b)).max()
+    return np.maximum(out**2, LEAST_CHANCE)
+
+
 def measured(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, the five counts and x, the forest's statistics; no text."""
 
@@ -165,7 +183,9 @@ def measured(documents: DataFrame) -> DataFrame:
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, quality, x) of the labelled documents that pass the base rules; of rows
     that share a doc_id, one."""
-    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("long").alias("quality")).where("_id is not null and quality is not null").dropDuplicates(["_id"])
+    good = (F.col("quality").cast("long") > 0).cast("long")
+    lab = labels.select(F.col("doc_id").cast("long").alias("_id"), good.alias("quality")).where("_id is not null and quality is not null")
+    lab = lab.groupBy("_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("_most")).where("quality = _most").drop("_most")
     passed = rows.where("n_words >= 50 and 100 * n_repeat_words <= 50 * n_words").select("doc_id", "x")
     return passed.join(lab, passed["doc_id"] == lab["_id"]).groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
 
@@ -185,11 +205,12 @@ def fit(rows: DataFrame, labels: DataFrame, max_fit_rows: int = MAX_FIT_ROWS, go
     """Forest from a bounded sample of the labelled of the ``measured`` rows, threshold from all of them."""
     rows = shared.materialize(_labelled(rows, labels), "labelled")
     n_good, n_bad = rows.agg(F.count(F.when(F.col("quality") > 0, 1)), F.count(F.when(F.col("quality") <= 0, 1))).first()
-    good = _sample(rows.where("quality > 0"), n_good, max_fit_rows - int(BAD_SHARE * max_fit_rows))
-    bad = _sample(rows.where("quality <= 0"), n_bad, max(4, int(BAD_SHARE * len(good))))
-    if len(good) + len(bad) < 8:
+    good = np.array(_sample(rows.where("quality > 0"), n_good, max_fit_rows // 2))
+    bad = np.array(_sample(rows.where("quality <= 0"), n_bad, max_fit_rows // 2))
+    if not len(good) or not len(bad) or len(good) + len(bad) < 8:
         return Model(None, 1.0)
-    forest = IsolationForest(np.array(good + bad), trees, sample)
+    few = bad[: max(4, int(BAD_SHARE * len(good)))]
+    forest = IsolationForest(np.concatenate([good, few]), trees, sample, chances=separation(good, bad))
     held = rows.sparkSession.sparkContext.broadcast(forest)
 
     def bins(batches):

@@ -96,3 +96,12 @@ def test_held_out_labels(spark, sf):
     good, bad = [r["kept"] for r in got if r["quality"]], [r["kept"] for r in got if not r["quality"]]
     assert sum(good) >= 0.97 * len(good)
     assert sum(bad) <= 0.1 * len(bad)
+
+
+def test_labels_that_disagree_are_not_used(spark):
+    good, bad = _corpus()
+    rows = quality.measured(documents(spark, good + bad))
+    labels = _labels(spark, good, bad)
+    odd = labels.unionByName(spark.createDataFrame([(i, 0, 0) for i, _ in good[150:]] + [(i, 1, 0) for i, _ in good[150:]], labels.schema))
+    one, two = quality.fit(rows, labels), quality.fit(rows, odd)
+    assert one.threshold == two.threshold and (one.forest.score(np.ones((3, 7))) == two.forest.score(np.ones((3, 7)))).all()
