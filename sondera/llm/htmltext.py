@@ -12,7 +12,8 @@ common ancestor then gives the article: all its other blocks (headings, short
 paragraphs, list items) belong to it, except link lists.
 
 Defined results: null or empty html, and html without text, gives an empty
-text; tags that never close end with their parent; unknown character references
+text; tags that never close end with their parent, a script or style without an end
+tag with the page; ``/>`` ends no script; a quote that never closes holds no value; unknown character references
 stay as they are; rows are treated one by one, whatever their other columns.
 """
 
@@ -30,11 +31,13 @@ from . import shared
 
 SIGMA, SHARE = 1.0, 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>script|style|noscript|template|iframe|svg|math|textarea|object|canvas|xmp|noembed|noframes)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.I | re.S,
-)
+#: Elements whose content is text up to their end tag, or else up to the end of the page.
+_RAW = frozenset("script style iframe textarea xmp noembed noframes".split())
+#: Elements that are left out whole where they end; without an end tag, the tag alone.
+_OPAQUE = frozenset("noscript template svg math object canvas".split())
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<cdata>!\[CDATA\[)|(?P<other>[!?])|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*))")
+_TAG_PART = re.compile(r">|=\s*([\"'])")
+_ENDS = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*>?", re.I) for n in _RAW | _OPAQUE}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -58,6 +61,49 @@ _ENDS_P = frozenset("address article aside blockquote center details dialog dir
 _PUNCT = re.compile("[.,;:!?…。，；：！？、]")
 
 
+def tags(page: str):
+    """The markup of a page: (start, end, kind, name, attributes); kind is "open", "close",
+    "cdata" or "skip".  Each character is looked at a bounded number of times: a quote that
+    never closes does not hold a value, and a tag that never ends goes to the end of the page."""
+    n, at, ended = len(page), 0, {}
+    last = {q: page.rfind(q) for q in "\"'"}
+    while (at := page.find("<", at)) >= 0:
+        m = _OPEN.match(page, at)
+        if m is None:
+            at += 1
+            continue
+        if m["name"] is None:
+            mark = "-->" if m["comment"] else "]]>" if m["cdata"] else ">"
+            end = page.find(mark, at + 2 if m["comment"] else m.end())
+            end = n if end < 0 else end + len(mark)
+            yield at, end, "cdata" if m["cdata"] else "skip", "", ""
+            at = end
+            continue
+        i = m.end()
+        while True:
+            part = _TAG_PART.search(page, i)
+            if part is None:
+                i = end = n
+                break
+            if part[1] is None or part.end() > last[part[1]]:
+                end = part.end() if part[1] is None else page.find(">", part.end()) + 1 or n
+                i = end - 1
+                break
+            i = page.find(part[1], part.end()) + 1
+        name, attrs = m["name"].lower(), page[m.end() : i]
+        kind = "close" if m["close"] else "open"
+        if kind == "open" and name in _ENDS and not (name in ("svg", "math") and attrs.endswith("/")):
+            kind = "skip"
+            if ended.get(name, 0) is not None:
+                close = _ENDS[name].search(page, end)
+                ended[name] = None if close is None else 1
+                end = close.end() if close else n if name in _RAW else end
+            elif name in _RAW:
+                end = n
+        yield at, end, kind, name, attrs
+        at = end
+
+
 class _Node:
     __slots__ = ("dropped", "main", "name", "parent", "path")
 
@@ -136,16 +182,14 @@ def blocks(page: str) -> list[Block]:
                 return
 
     at = 0
-    for m in _TOKEN.finditer(page):
-        text_of(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
-        if name is None:
-            if m[0].startswith("<![CDATA["):
-                text_of(m[0][9:].removesuffix("]]>"))
+    for start, end, kind, name, attrs in tags(page):
+        text_of(page[at:start])
+        at = end
+        if kind == "cdata":
+            text_of(page[start + 9 : end].removesuffix("]]>"))
+        if kind in ("cdata", "skip"):
             continue
-        name = name.lower()
-        if m["close"]:
+        if kind == "close":
             if name in INLINE:
                 for k in range(len(inline) - 1, -1, -1):
                     if inline[k][0] == name:
@@ -161,7 +205,6 @@ def blocks(page: str) -> list[Block]:
                 else:
                     flush()
             continue
-        attrs = m["attrs"]
         if name in VOID:
             if name in ("br", "hr"):
                 parts.append(" ")

@@ -1,11 +1,16 @@
 from __future__ import annotations
 
+import html
 import random
+import re
+import time
+from collections import Counter
 
 import pytest
 from llm_tools import sentence
 
 from sondera.llm import htmltext
+from sondera.llm.htmltext import extract
 
 ARTICLE = ["First paragraph, which is long enough to be told from a menu; it has marks.", "Second paragraph with <b>bold</b>, <a href='/x'>a link</a> and an &amp; sign &#x2014; &eacute;.", "Third one: short.", "A last paragraph, again of some length, so that it is content as well."]
 PLAIN = "First paragraph, which is long enough to be told from a menu; it has marks. Second paragraph with bold, a link and an & sign — é. Third one: short. A last paragraph, again of some length, so that it is content as well."
@@ -69,3 +74,45 @@ def test_scores_put_content_paths_first():
     found = htmltext.blocks("<div>" + "".join(f"<p>{sentence(random.Random(i), 30)}, and. So!</p>" for i in range(6)) + "</div><table>" + "".join(f"<tr><td>{i}</td></tr>" for i in range(6)) + "</table>")
     s = htmltext.path_scores(found)
     assert s["/div/p"] > 3 * s["/table/tr/td"]
+
+
+def test_scripts_end_with_their_end_tag():
+    assert extract('<article><p>One two three.</p><script src="a.js"/>var leaked=1;</script><p>Four.</p></article>') == "One two three. Four."
+    assert extract("<article><p>One.</p><SCRIPT>a</Script ><p>Two.</p><svg/><p>Three.</p></article>") == "One. Two. Three."
+    assert extract("<article><p>One.</p><noscript><p>Two.</p></article>") == "One. Two."
+    assert extract("<article><p>One.</p><script>var x = 1; <p>Two.</p></article>") == "One."
+
+
+def test_open_quotes_and_tags():
+    assert extract('<article><p class="x>One two.</p><p>Three.</p></article>') == "One two. Three."
+    assert extract("<article><p title='a > b'>One.</p><p title=it's>Two.</p></article>") == "One. Two."
+    assert extract('<article><p>One < two and 3 <4.</p><p class="a') == "One < two and 3 <4."
+    assert extract("<article><p>One.<!-- no end <p>Two.</p>") == "One."
+    assert extract("<article><p>One.</p><!--> <p>Two.</p></article>") == "One. Two."
+
+
+@pytest.mark.parametrize("part", ['<p class="', "<p a='", '<a b="c', "<script>", "<svg>", "<!--", "<![CDATA[", "<", "</", "<p =", "<!", "<template>"])
+def test_time_is_linear_on_broken_pages(part):
+    page = part * (400_000 // len(part))
+    began = time.process_time()
+    extract(page)
+    assert time.process_time() - began < 20
+
+
+def test_articles_of_all_pages(spark, sf):
+    """Against the plain text of the article element, cut at block tags by regular expressions."""
+    from sondera.llm import queries
+
+    big = sf.replace("sf0.001", "sf0.01")
+    want = {}
+    for r in spark.read.parquet(f"{big}/pages.parquet").collect():
+        body = re.search("<article>(.*?)</article>", r["html"] or "", re.S)
+        parts = re.split("</?(?:article|p|h1|ul|ol|li|div|blockquote|h2|h3)[^>]*>", body[1]) if body else []
+        texts = [" ".join(html.unescape(re.sub("<[^>]*>", " " if "<br" in p else "", p)).split()) for p in parts]
+        want[r["page_id"]] = " ".join(t for t in texts if t)
+    got = {r["page_id"]: r["text"] for r in queries.op10_html_extract(spark, big).collect()}
+    words = lambda t: Counter(t.split())
+    both = sum((words(got[i]) & words(want[i])).total() for i in want)
+    assert both >= 0.99 * sum(len(t.split()) for t in want.values())
+    assert both >= 0.99 * sum(len(t.split()) for t in got.values())
+    assert sum(got[i] == t for i, t in want.items()) >= 0.95 * len(want)
