@@ -151,12 +151,15 @@ def _http(payload: bytes) -> bytes:
 def with_first(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, html and ``first``: the page that a page revisits, or null."""
     p = shared.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    same = F.when(F.octet_length("html") >= least, F.sha2("html", 256))
-    groups = p.select("page_id", same.alias("same")).where("same is not null and page_id is not null").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    # Pages without a partner get keys of their own, so they spread over all tasks.
-    keyed = p.withColumn("key", F.when(F.col("page_id").isNotNull(), same)).withColumn("key", F.coalesce("key", F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
-    joined = keyed.join(groups.select(F.col("same").alias("key"), "first"), "key", "left")
-    return joined.select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("first"))
+    same = F.when(F.col("page_id").isNotNull() & (F.octet_length("html") >= least), F.sha2("html", 256))
+    p = p.withColumn("same", same)
+    slim = p.select("page_id", "same").where("same is not null")
+    groups = slim.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # Who revisits whom is settled without the pages; these then meet it by their own ids,
+    # so that pages of one payload do not meet in one task.
+    revisits = shared.materialize(slim.join(groups, "same").where("page_id <> first").distinct(), "revisits")
+    spread = F.coalesce("page_id", F.xxhash64("url", "html"))
+    return p.withColumn("at", spread).join(revisits.withColumnRenamed("page_id", "at"), ["at", "same"], "left").select("page_id", "url", "html", "first")
 
 
 def write(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "20240101000000", part_bytes: int = PART_BYTES) -> DataFrame:
@@ -173,12 +176,13 @@ def write(pages: DataFrame, least: int = LEAST_REVISIT, date: str = "20240101000
                 raw = blocks[version] + arc_record(version, url or "", date, "text/html; charset=utf-8", _http(html.encode()))
                 (arc,) = parse_arc(raw)
                 extra = {} if page is None else {"X-Page-Id": str(page)}
-                key = f"page:{page}" if page is not None else f"null:{url}:{seen['n']}"
+                key = f"page:{page}" if page is not None else f"null:{seen['part']}:{seen['n']}:{url}"
                 record = to_warc(arc, key, None if first is None else f"page:{first}", extra | ({} if first is None else {"X-Refers-To-Page-Id": str(first)}))
                 yield gzip.compress(record, 4, mtime=0)
 
     def put(batches):
-        seen, part, stream = {"n": 0}, TaskContext.get().partitionId(), None
+        part = TaskContext.get().partitionId()
+        seen, stream = {"n": 0, "part": part}, None
         stream = members(batches, seen)
         number = 0
         while (one := next(stream, None)) is not None:
