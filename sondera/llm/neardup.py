@@ -3,7 +3,7 @@
 A document is the set of its word shingles.  Each 64-bit shingle hash falls in
 one of ``m`` buckets by its leading bits; of the smallest rest in a bucket the
 register keeps the number of leading zeros and some mantissa bits after them.
-Documents with identical sets are folded into one first.  Registers of the
+Documents with identical sets are folded into one node first, numbered as written.  Registers of the
 others, with empty buckets filled from other buckets by a fixed random order,
 are cut into bands; documents that share a band meet that band's member with
 the smallest id.  The Jaccard similarity of such a pair is estimated from the
@@ -29,7 +29,8 @@ than one in a million.
 
 Defined results: null, empty and wordless text has an empty set, links with
 nothing and is kept; a text of fewer words than a shingle has one shingle; rows
-that share a doc_id are one document and all get its result; a null doc_id
+that share a doc_id are one document, which links with all that any of them links with,
+and all get its result; a null doc_id
 links with nothing and is kept, with a null component; other columns are
 ignored.
 """
@@ -55,7 +56,7 @@ BLOCK, ROUNDS = 1024, 4
 #: its hub by the distance of a link cannot link with one that is further off than this.
 CLOSE = 0.45
 
-SIGNATURE = "doc_id long, n_shingles long, digest binary, registers binary"
+SIGNATURE = "doc_id long, text_hash long, n_shingles long, digest binary, registers binary"
 
 
 def shingle_sets(texts, k: int) -> list[np.ndarray]:
@@ -152,14 +153,15 @@ def signatures(documents: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(2),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                     pa.array([registers(s).tobytes() if len(s) * (100 - percent) >= percent else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "digest", "registers"],
+                names=["doc_id", "text_hash", "n_shingles", "digest", "registers"],
             )
 
-    return shared.id_and_text(documents).mapInArrow(shared.tidy(work), SIGNATURE)
+    return shared.id_and_text(documents).withColumn("text_hash", F.xxhash64("text")).mapInArrow(shared.tidy(work), SIGNATURE)
 
 
 def _reg(column) -> np.ndarray:
@@ -169,8 +171,9 @@ def _reg(column) -> np.ndarray:
 COMPARED = "a long, b long, na long, both long, minus binary, plus binary"
 
 
-def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """A table in the shared folder: doc_id and the compressed text of each document of the pairs."""
+def candidate_texts(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """A table in the shared folder: node and the compressed text of each node of the pairs.
+    A node's text is told by the doc_id and the hash of the text that it was first met with."""
 
     def squeeze(batches):
         pack = zstandard.ZstdCompressor(level=1)
@@ -178,10 +181,15 @@ def candidate_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 texts = [pack.compress(t.as_buffer()) for t in part.column(1).cast(pa.large_string()).fill_null("")]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    return shared.materialize(near_set(docs.where("doc_id is not null"), "doc_id", ids, "id", squeeze, "doc_id long, text binary").dropDuplicates(["doc_id"]), "texts")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(texts, pa.binary())], names=["rep", "rep_text", "text"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep", "rep_text"), "node")
+    asked = shared.materialize(asked.withColumn("pair", F.xxhash64("rep", "rep_text")), "asked")
+    rows = docs.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text")).withColumn("pair", F.xxhash64("doc_id", "text_hash"))
+    some = near_set(rows, "pair", asked, "pair", squeeze, "rep long, rep_text long, text binary")
+    out = shared.materialize(some.join(asked.select("node", "rep", "rep_text"), ["rep", "rep_text"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    shared.remove(asked)
+    return out
 
 
 def _unpacked(column) -> pa.Array:
@@ -189,7 +197,7 @@ def _unpacked(column) -> pa.Array:
     return pa.array([d.decompress(x) for x in column.to_pylist()], pa.large_binary()).cast(pa.large_string())
 
 
-def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """A table in the shared folder: the pairs with the size of a's set, of the intersection,
     and their differences a - b and b - a on full sets."""
 
@@ -210,8 +218,8 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                     names=["a", "b", "na", "both", "minus", "plus"],
                 )
 
-    texts = candidate_texts(docs, pairs)
-    full = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    texts = candidate_texts(docs, pairs, nodes)
+    full = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     out = shared.materialize(full.select("a", "b", "ta", "tb").mapInArrow(shared.tidy(work), COMPARED), "compared")
     shared.remove(texts)
     return out
@@ -324,15 +332,21 @@ def through_hubs(met: DataFrame, comps: DataFrame, percent: int, block: int = BL
 
 
 def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROUNDS):
-    """Signatures, representatives of equal sets, links and components of representatives."""
+    """Signatures, rows with the nodes of their sets, the nodes, links and components of nodes."""
     threshold = percent / 100
     close = min(CLOSE, threshold)
     docs = shared.id_and_text(documents)
     sig = shared.materialize(signatures(docs, k, percent), "signatures")
     named = sig.where("doc_id is not null and digest is not null")
-    by_digest = named.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    firsts = named.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    nodes = shared.materialize(firsts.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("rep_text"), F.monotonically_increasing_id().alias("node")), "nodes")
+    rows = shared.materialize(named.select("doc_id", "n_shingles", "digest").join(nodes.select("digest", "node", "rep"), "digest").drop("digest"), "rows")
+    # Different texts of one doc_id are one document.
+    several = rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    same_id = rows.join(several, "doc_id").where("node > lo").select(F.col("lo").alias("a"), F.col("node").alias("b")).distinct()
+    first = (F.col("doc_id") == F.col("rep")) & (F.col("text_hash") == F.col("rep_text")) & (F.col("digest") == F.col("d"))
     reps = shared.materialize(
-        by_digest.join(named.where("registers is not null").select(F.col("doc_id").alias("rep"), F.col("digest").alias("d"), "registers"), "rep").where("d = digest").select("rep", "registers").dropDuplicates(["rep"]),
+        named.where("registers is not null").select("doc_id", "text_hash", "digest", "registers").join(nodes.withColumnRenamed("digest", "d"), first).select(F.col("node").alias("rep"), "registers").dropDuplicates(["rep"]),
         "representatives",
     )
 
@@ -353,7 +367,7 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
             pairs = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
         pairs = shared.materialize(estimated(pairs, reps, close), "candidates")
         if n == 0 or not pairs.isEmpty():
-            tables.append(compared(pairs, docs, k))
+            tables.append(compared(pairs, docs, nodes, k))
             met = tables[0] if met is None else met.unionByName(tables[-1])
         # Close to its hub by more than the distance of a link: settled in this band.
         settled = met.where(F.col("both") >= (close + 1 - threshold) * (F.col("na") + F.octet_length("plus") / 8)).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
@@ -362,14 +376,14 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
         shared.remove(members)
         if keyed.isEmpty():
             break
-    edges = shared.materialize(met.where(links_).select("a", "b"), "links")
+    edges = shared.materialize(met.where(links_).select("a", "b").unionByName(same_id), "links")
     comps = components(edges)
     found = through_hubs(met, comps, percent)
     left = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
     rest = left.select("key", F.col("rep").alias("b")).join(reps.select(F.col("rep").alias("b"), "registers"), "b").select("key", "b", "registers")
     pairs = shared.materialize(in_blocks(rest, "key", rest, _one_by_one(threshold)).distinct(), "rest")
     if not pairs.isEmpty():
-        tables.append(compared(pairs, docs, k))
+        tables.append(compared(pairs, docs, nodes, k))
         found = found.unionByName(tables[-1].where(links_).select("a", "b"))
     found = shared.materialize(found, "more_links")
     if not found.isEmpty():
@@ -377,15 +391,15 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
         comps = components(edges)
     for t in (*tables, reps, keyed, pairs):
         shared.remove(t)
-    return sig, by_digest, edges, comps
+    return sig, rows, nodes, edges, comps
 
 
 def deduplicate(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links
     reach), kept (it is that document)."""
-    sig, by_digest, _, comps = links(documents, k, percent)
-    named = sig.where("doc_id is not null and digest is not null").select("doc_id", "n_shingles", "digest")
-    c = comps.select(F.col("node").alias("rep"), "component")
-    linked = named.join(by_digest.join(c, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "digest").select("doc_id", "n_shingles", "component_id")
+    sig, rows, nodes, _, comps = links(documents, k, percent)
+    smallest = comps.join(nodes.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of = comps.join(smallest, "component").select("node", "component_id")
+    linked = rows.join(of, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     alone = sig.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -83,6 +83,15 @@ def test_repeated_rows_and_empty_table(spark):
     assert neardup.deduplicate(documents(spark, []), 3, 85).count() == 0
 
 
+def test_different_texts_of_one_doc_id_link_for_both(spark):
+    r = random.Random(3)
+    a, b, c = (sentence(r, 90) for _ in range(3))
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (3, b + " z"), (4, c), (5, c + " z"), (1, None), (6, c), (6, sentence(r, 50))]
+    got = neardup.deduplicate(documents(spark, rows), 3, 85).collect()
+    assert len(got) == len(rows)
+    assert {(x["doc_id"], x["component_id"], x["kept"]) for x in got} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 4, False), (6, 4, False)}
+
+
 def test_a_large_group_of_copies_with_few_blocks(spark):
     """A third of all rows are near copies of one text; hub groups span blocks."""
     r = random.Random(7)
