@@ -271,14 +271,15 @@ def _runs(t: Lines, docs: np.ndarray, again):
 
 
 def repeated(documents: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """The documents in the shared folder, with a column ``_again``: their runs that
-    occur before, and where each occurs first."""
+    """The documents in the shared folder, with a last column, ``_again`` where the table has
+    none of that name: their runs that occur before, and where each occurs first."""
     occ = shared.materialize(passage_occurrences(documents, divisor, long_words), "passages")
     groups = occ.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("key", F.col("first.doc_id").alias("fd"), F.col("first.place").alias("fp"))
     again = occ.join(groups, "key").where("doc_id <> fd or place <> fp")
     # At most the runs of one document.
-    lists = again.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct(*_AGAIN)).alias("_again"))
-    out = shared.materialize(documents.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc"), "repeated")
+    name, doc = shared.fresh(documents, "_again"), shared.fresh(documents, "_doc")
+    lists = again.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_list(F.struct(*_AGAIN)).alias(name))
+    out = shared.materialize(documents.join(lists, documents["doc_id"].cast("long") == F.col(doc), "left").drop(doc), "repeated")
     shared.remove(occ)
     return out
 
@@ -299,7 +300,7 @@ def _run_texts(docs: DataFrame) -> DataFrame:
                 texts = [t.bytes(x, y) for x, y in zip(start.tolist(), end.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, types, strict=True)), pa.array(texts, pa.binary())], names=["doc_id", "start", "lines", "fd", "fs", "key", "chunk"])
 
-    d = docs.where("_again is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "_again")
+    d = docs.where(F.col(docs.columns[-1]).isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), docs.columns[-1])
     return d.mapInArrow(shared.tidy(work), _RUN + ", chunk binary")
 
 
@@ -335,14 +336,16 @@ def dedup_passages(documents: DataFrame, divisor: int = DIVISOR, long_words: int
     """As :func:`dedup_lines`, and every repeated run of lines with ``long_words`` words
     or more goes whole, whatever stands around it.  The occurrence with the smallest
     (doc_id, first line) stays.  A run is the union of its shortest runs of so many
-    words, each of which is counted; _chunks_removed counts the gaps left in the text."""
+    words, each of which is counted; _chunks_removed counts the gaps left in the text.
+    Where the table has columns of these two names, they get underscores behind them."""
     docs = repeated(documents, divisor, long_words)
     other = unequal_runs(docs)
+    name, doc = shared.fresh(docs, "_stay"), shared.fresh(docs, "_doc")
     if other.isEmpty():
-        docs = docs.withColumn("_stay", F.lit(None).cast("array<struct<start:int,lines:int,fd:bigint,fs:int,key:bigint>>"))
+        docs = docs.withColumn(name, F.lit(None).cast("array<struct<start:int,lines:int,fd:bigint,fs:int,key:bigint>>"))
     else:
-        lists = other.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("start", "lines", "fd", "fs", "key")).alias("_stay"))
-        docs = docs.join(lists, F.col("doc_id").cast("long") == F.col("_doc"), "left").drop("_doc")
+        lists = other.groupBy(F.col("doc_id").alias(doc)).agg(F.collect_set(F.struct("start", "lines", "fd", "fs", "key")).alias(name))
+        docs = docs.join(lists, docs["doc_id"].cast("long") == F.col(doc), "left").drop(doc)
     at, key, columns = documents.columns.index("text"), documents.columns.index("doc_id"), len(documents.columns)
 
     def work(batches):
@@ -375,5 +378,5 @@ def dedup_passages(documents: DataFrame, divisor: int = DIVISOR, long_words: int
             cols[at] = pa.array(texts, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n, pa.int64()), pa.array(chars, pa.int64())], names=schema.names)
 
-    schema = documents.select("*").schema.add("_chunks_removed", "long").add("_chars_removed", "long")
+    schema = documents.select("*").schema.add(shared.fresh(documents, "_chunks_removed"), "long").add(shared.fresh(documents, "_chars_removed"), "long")
     return docs.mapInArrow(shared.tidy(work), schema)

@@ -85,6 +85,14 @@ def id_and_text(documents: DataFrame) -> DataFrame:
     return bounded(documents).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until the table has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a URI and the path in it, on any executor."""
     return pafs.FileSystem.from_uri(uri)

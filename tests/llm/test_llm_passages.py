@@ -88,3 +88,15 @@ def test_runs_of_equal_keys_and_other_bytes_stay(spark, monkeypatch):
 
     changed = marked.withColumn("text", F.when(F.col("doc_id") == 1, F.lit("z " * 60)).otherwise(F.col("text")))
     assert [r["doc_id"] for r in ld.unequal_runs(changed).collect()] == [3]
+
+
+def test_columns_of_the_names_used_inside(spark):
+    r = random.Random(5)
+    passage = "\n".join(sentence(r, 30) for _ in range(3))
+    rows = [(1, sentence(r, 20) + "\n" + passage, 7, "a", 1, 2, 3), (2, sentence(r, 20) + "\n" + passage, 8, "b", 4, 5, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _chunks_removed int, _doc string, _again int, _stay int, _chars_removed int")
+    out = ld.dedup_passages(docs)
+    assert out.columns == [*docs.columns, "_chunks_removed_", "_chars_removed_"]
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert passage in got[1]["text"] and passage not in got[2]["text"]
+    assert (got[2]["_chunks_removed"], got[2]["_chunks_removed_"], got[2]["_again"]) == (8, 1, 4)
