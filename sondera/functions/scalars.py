@@ -18,6 +18,11 @@ _PATTERNS = {
 _STRPTIME = {"%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%z": "Z", "%y": "yy", "%j": "DDD", "%b": "MMM", "%B": "MMMM", "%a": "EEE", "%A": "EEEE", "%f": "SSSSSS", "%I": "hh", "%p": "a", "%%": "%"}
 
 
+def floor_div(n: Column, by: int) -> Column:
+    """Whole division of 64-bit integers, which a division of doubles is not."""
+    return F.call_function("div", n - F.pmod(n, F.lit(by)), F.lit(by))
+
+
 def spark_pattern(strptime: str) -> str:
     """A strptime pattern as Spark writes it."""
     out, i = [], 0
@@ -41,7 +46,7 @@ def timestamp_of_number(n: Column) -> Column:
         F.when(a.between(low, high), F.timestamp_seconds(n))
         .when(a.between(low * 1000, high * 1000 + 999), F.timestamp_millis(n))
         .when(a.between(low * 1_000_000, high * 1_000_000 + 999_999), F.timestamp_micros(n))
-        .when(a >= F.lit(low).cast("decimal(20,0)") * 1_000_000_000, F.timestamp_micros(F.floor(n / 1000).cast("long")))
+        .when(a >= F.lit(low).cast("decimal(20,0)") * 1_000_000_000, F.timestamp_micros(floor_div(n.try_cast("long"), 1000)))
     )
 
 

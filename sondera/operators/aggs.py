@@ -101,6 +101,14 @@ def _plain(x: float) -> str:
     return str(int(x)) if float(x).is_integer() else str(x)
 
 
+def _or_missing(c: Column, array: bool, value: Any) -> Column:
+    """The values of a field, or ``value`` where a row has none."""
+    if not array:
+        return F.coalesce(c, F.lit(value))
+    some = F.filter(c, lambda x: x.isNotNull())
+    return F.when(F.size(some) > 0, some).otherwise(F.array(F.lit(value)))
+
+
 def keyed(index: Index, df: DataFrame, spec: dict, as_name: str) -> DataFrame:
     """The rows with their bucket key; a row of several values has one row for each
     bucket, and a row without a value none."""
@@ -109,7 +117,7 @@ def keyed(index: Index, df: DataFrame, spec: dict, as_name: str) -> DataFrame:
     if k == "terms":
         c, array = _column(index, p["field"])
         if "missing" in p:
-            c = F.coalesce(c, F.lit(p["missing"]))
+            c = _or_missing(c, array, p["missing"])
         df = df.withColumn(as_name, F.explode(F.array_distinct(c)) if array else c)
     elif k in ("histogram", "date_histogram"):
         c, array = _column(index, p["field"], numeric=True)
@@ -146,16 +154,19 @@ def keyed(index: Index, df: DataFrame, spec: dict, as_name: str) -> DataFrame:
 
 
 def metric_columns(index: Index, name: str, spec: dict) -> list[Column]:
-    """The aggregate columns of a metric, named ``name`` or ``name.part``."""
+    """The aggregate columns of a metric, named ``name`` or ``name.part``; a row of several
+    values counts with each of them."""
     k = kind(spec)
     p = spec[k]
     c, array = _column(index, p["field"], numeric=k not in ("value_count", "cardinality"))
     if "missing" in p:
-        c = F.coalesce(c, F.lit(p["missing"]))
+        c = _or_missing(c, array, p["missing"])
     if k == "value_count":
-        return [F.sum(F.size(c)).alias(name) if array else F.count(c).alias(name)]
+        return [F.coalesce(F.sum(F.size(F.filter(c, lambda x: x.isNotNull()))), F.lit(0)).cast("long").alias(name) if array else F.count(c).alias(name)]
     if k == "cardinality":
         return [F.approx_count_distinct(c, 0.01).alias(name)]
+    if array:
+        return _array_metric(name, k, F.transform(F.filter(c, lambda x: x.isNotNull()), lambda x: x.cast("double")))
     c = c.cast("double")
     one = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
     if k in one:
@@ -167,6 +178,29 @@ def metric_columns(index: Index, name: str, spec: dict) -> list[Column]:
     return [v.alias(f"{name}.{s}") for s, v in parts.items()]
 
 
+def _array_metric(name: str, k: str, c: Column) -> list[Column]:
+    """As :func:`metric_columns`, of an array column: each row is summed up first."""
+    def added(f) -> Column:
+        return F.coalesce(F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + f(x))), F.lit(0.0))
+
+    n, total = F.coalesce(F.sum(F.when(c.isNotNull(), F.size(c))), F.lit(0)).cast("long"), added(lambda x: x)
+    mean = F.when(n > 0, total / n)
+    parts = {"count": n, "sum": total, "min": F.min(F.array_min(c)), "max": F.max(F.array_max(c)), "avg": mean}
+    if k in parts:
+        return [parts[k].alias(name)]
+    if k == "extended_stats":
+        squares = added(lambda x: x * x)
+        variance = F.greatest(squares / n - mean * mean, F.lit(0.0))
+        parts |= {"sum_of_squares": squares, "variance": F.when(n > 0, variance), "std_deviation": F.when(n > 0, F.sqrt(variance))}
+    return [v.alias(f"{name}.{s}") for s, v in parts.items()]
+
+
+def _one_by_one(index: Index, spec: dict) -> bool:
+    """Whether a metric needs a row for each value."""
+    k = kind(spec)
+    return k == "percentiles" or (k == "cardinality" and _column(index, spec[k]["field"])[1])
+
+
 def percentiles(df: DataFrame, keys: list[str], value: Column, percents=PERCENTS) -> DataFrame:
     """Exact percentiles by lower rank: the element floor(q * (n - 1)) of the sorted
     values.  Equal values are counted together before they are ranked."""
@@ -179,17 +213,23 @@ def percentiles(df: DataFrame, keys: list[str], value: Column, percents=PERCENTS
 
 def grouped(index: Index, df: DataFrame, keys: list[str], specs: dict) -> DataFrame:
     """One row per bucket: the keys, ``doc_count`` and all metrics of ``specs``."""
-    plain = {n: s for n, s in specs.items() if kind(s) in METRICS and kind(s) != "percentiles"}
+    plain = {n: s for n, s in specs.items() if kind(s) in METRICS and not _one_by_one(index, s)}
     cols = [F.count("*").alias("doc_count")]
     for n, s in plain.items():
         cols += metric_columns(index, n, s)
     out = df.groupBy(*keys).agg(*cols)
     for n, s in specs.items():
-        if kind(s) == "percentiles":
-            p = s["percentiles"]
-            c, _ = _column(index, p["field"], numeric=True)
-            got = percentiles(df, keys, c, p.get("percents", PERCENTS))
-            got = got.toDF(*keys, *[f"{n}.{q:g}" for q in p.get("percents", PERCENTS)])
+        if kind(s) in METRICS and _one_by_one(index, s):
+            p = s[kind(s)]
+            c, array = _column(index, p["field"], numeric=kind(s) == "percentiles")
+            if "missing" in p:
+                c = _or_missing(c, array, p["missing"])
+            values = df.select(*keys, (F.explode(c) if array else c).alias("_value"))
+            if kind(s) == "percentiles":
+                got = percentiles(values, keys, F.col("_value"), p.get("percents", PERCENTS))
+                got = got.toDF(*keys, *[f"{n}.{q:g}" for q in p.get("percents", PERCENTS)])
+            else:
+                got = values.groupBy(*keys).agg(F.approx_count_distinct("_value", 0.01).alias(n))
             out = out.join(got, keys, "left") if keys else out.crossJoin(F.broadcast(got))  # one row each
     return out
 
@@ -242,7 +282,7 @@ def df_of(like: DataFrame, rows: list[tuple], schema: str | StructType) -> DataF
 
 def fill(out: DataFrame, p: dict, k: str) -> DataFrame:
     """A histogram with its empty buckets between the first and last, and out to the
-    extended bounds."""
+    extended bounds; an error where these are more than the limit."""
     every, offset = (float(p["interval"]), float(p.get("offset", 0))) if k == "histogram" else _date_spec(p)
     ends = out.agg(F.min("_key").alias("lo"), F.max("_key").alias("hi"))
     lo, hi = F.col("lo"), F.col("hi")
@@ -250,7 +290,8 @@ def fill(out: DataFrame, p: dict, k: str) -> DataFrame:
         at = [math.floor((p["extended_bounds"][e] - offset) / every) * every + offset for e in ("min", "max")]
         lo, hi = F.least(lo, F.lit(at[0])), F.greatest(hi, F.lit(at[1]))
     n = F.round((hi - lo) / every).cast("long")
-    number = F.explode(F.when(n.isNotNull(), F.sequence(F.lit(0).cast("long"), F.least(n, F.lit(MOST_BUCKETS)))))
+    most = F.when(n < MOST_BUCKETS, n).otherwise(F.raise_error(F.lit(f"more than {MOST_BUCKETS} buckets")).cast("long"))
+    number = F.explode(F.when(n.isNotNull(), F.sequence(F.lit(0).cast("long"), most)))
     grid = ends.select(lo.alias("_lo"), number.alias("_i")).select((F.col("_lo") + F.col("_i") * every).cast("double" if k == "histogram" else "long").alias("_key"))
     return grid.join(out, "_key", "left").fillna(0, ["doc_count"])
 

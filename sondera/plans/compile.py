@@ -20,8 +20,6 @@ from ..mapping import Index, Resolved
 from . import ast as A
 
 K1, B = 1.2, 0.75
-#: The most terms of a phrase with a slop, whose search nests once per term.
-MOST_SLOP_TERMS = 6
 
 
 def safe(c: Column) -> Column:
@@ -50,8 +48,6 @@ def occurrences(tokens: Column, words: list[str]) -> Column:
 def phrase(tokens: Column, terms: list[str], slop: int = 0, prefix: bool = False) -> Column:
     """Whether the terms stand in order; with a slop, positions less their index may
     differ by at most that."""
-    if slop and len(terms) > MOST_SLOP_TERMS:
-        raise QueryError(f"a phrase with a slop has at most {MOST_SLOP_TERMS} terms")
     return bound(tokens, lambda t: _phrase(t, terms, slop, prefix))
 
 
@@ -71,21 +67,16 @@ def _phrase(tokens: Column, terms: list[str], slop: int, prefix: bool) -> Column
 
         return has & (size >= n) & F.exists(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), starts)
 
-    def search(places: list[Column], i: int, low: Column | None, high: Column | None) -> Column:
-        if i == n:
-            return high - low <= slop
-
-        def step(p: Column) -> Column:
-            a = p - i
-            return search(places, i + 1, a if low is None else F.least(low, a), a if high is None else F.greatest(high, a))
-
-        return F.exists(places[i], step)
-
     def at(i: int) -> Column:
-        return F.filter(F.sequence(F.lit(0), size - 1), lambda p: fits(i, F.get(tokens, p)))
+        places = F.filter(F.sequence(F.lit(0), size - 1), lambda p: fits(i, F.get(tokens, p)))
+        return F.transform(places, lambda p: p - i)
+
+    # The places of each term less its index, found once; a lowest one has one of each term
+    # within the slop above it.
+    def search(places: Column) -> Column:
+        return F.exists(F.flatten(places), lambda low: F.forall(places, lambda ps: F.exists(ps, lambda p: (p >= low) & (p <= low + slop))))
 
-    # The places of each term, found once.
-    found = bound(F.array(*[at(i) for i in range(n)]), lambda ps: search([F.get(ps, F.lit(i)) for i in range(n)], 0, None, None))
+    found = bound(F.array(*[at(i) for i in range(n)]), search)
     return F.when(has & (size > 0), found).otherwise(F.lit(False))
 
 

@@ -180,3 +180,43 @@ def count_metadata_only(spark, sf_dir):
 def agg_json_metric(spark, sf_dir):
     spec = {"terms": {"field": "event_type"}, "aggs": {"mean": {"avg": {"field": "props.k"}}}}
     return _buckets(index(spark, sf_dir, "events"), spec).select(F.col("_key").alias("key"), F.round("mean", 6).alias("mean"))
+
+
+def _customers(spark, sf_dir) -> Index:
+    """A row per customer, with the prices and states of all their orders."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list("o_totalprice").alias("price"), F.collect_list("o_orderstatus").alias("state"))
+    m = Mapping((Field("o_custkey", "i64"), Field("price", "f64", array=True), Field("state", "text", array=True, tokenizer="raw")), id_column="o_custkey")
+    none = spark.createDataFrame([(-1, [], None)], "o_custkey long, price array<double>, state array<string>")
+    return Index(o.unionByName(none), m)
+
+
+_CUSTOMERS = "WITH c AS (SELECT o_custkey, list(o_totalprice) AS price, list(DISTINCT o_orderstatus) AS state FROM orders GROUP BY 1 UNION ALL SELECT -1, [], ['none']), s AS (SELECT o_custkey, price, unnest(state) AS state FROM c) "
+
+
+@query(
+    _CUSTOMERS + "SELECT state, CAST(count(*) AS BIGINT) AS doc_count, CAST(sum(len(price)) AS BIGINT) AS n, round(coalesce(sum(list_sum(price)), 0), 2) AS total, round(min(list_min(price)), 2) AS least, round(max(list_max(price)), 2) AS most, "
+    "round(sum(list_sum(price)) / sum(len(price)), 4) AS mean FROM s GROUP BY state"
+)
+def agg_array_stats(spark, sf_dir):
+    """Buckets and metrics over fields of several values, and of none."""
+    got = _buckets(_customers(spark, sf_dir), {"terms": {"field": "state", "missing": "none"}, "aggs": {"p": {"stats": {"field": "price"}}}})
+    return got.select(F.col("_key").alias("state"), "doc_count", F.col("`p.count`").alias("n"), F.round("`p.sum`", 2).alias("total"), F.round("`p.min`", 2).alias("least"), F.round("`p.max`", 2).alias("most"), F.round("`p.avg`", 4).alias("mean"))
+
+
+@query("SELECT round(quantile_disc(o_totalprice, 0.5), 2) AS p50, round(var_pop(o_totalprice) / 1e6, 2) AS var FROM orders")
+def agg_array_percentiles(spark, sf_dir):
+    ix = _customers(spark, sf_dir)
+    got = aggs.grouped(ix, ix.df, [], {"q": {"percentiles": {"field": "price", "percents": [50.0]}}, "e": {"extended_stats": {"field": "price"}}})
+    return got.select(F.round("`q.50`", 2).alias("p50"), F.round(F.col("`e.variance`") / 1e6, 2).alias("var"))
+
+
+@query(
+    "SELECT 'types' AS agg, event_type AS key, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type UNION ALL "
+    "SELECT 'days', strftime(ts, '%Y-%m-%dT00:00:00Z'), CAST(count(*) AS BIGINT) FROM events GROUP BY 2 UNION ALL SELECT 'values', 'value', CAST(count(value) AS BIGINT) FROM events"
+)
+def agg_siblings(spark, sf_dir):
+    """Three aggregations side by side, as one result."""
+    ix = index(spark, sf_dir, "events")
+    got = aggs.run(ix, ix.df, {"types": {"terms": {"field": "event_type"}}, "days": {"date_histogram": {"field": "ts", "fixed_interval": "1d", "min_doc_count": 1}}, "values": {"value_count": {"field": "value"}}})
+    rows = [(n, str(b.get("key_as_string", b["key"])), b["doc_count"]) for n in ("types", "days") for b in got[n]["buckets"]]
+    return spark.createDataFrame([*rows, ("values", "value", got["values"]["value"])], "agg string, key string, n long")

@@ -48,10 +48,10 @@ def _both(spark, sf_dir) -> dict[str, Index]:
     return {"sales-orders": Index(o, m, "sales-orders"), "sales-lines": Index(ln, m, "sales-lines")}
 
 
-@query(f"SELECT id, price, kind FROM ({_BOTH}) WHERE price > 40000 AND id % 10 = 0")
+@query(f"SELECT id, price, kind FROM ({_BOTH}) WHERE price > 40000")
 def multi_index_union(spark, sf_dir):
     ix = meta.multi_index(_both(spark, sf_dir), "sales-*,none*")
-    return search.matching(ix, search.Request("price:>40000")).where("id % 10 = 0").select("id", "price", "kind")
+    return search.matching(ix, search.Request("price:>40000")).select("id", "price", "kind")
 
 
 @query(f"SELECT kind, CAST(count(*) AS BIGINT) AS doc_count, round(avg(price), 4) AS mean FROM ({_BOTH}) GROUP BY kind")
@@ -115,9 +115,9 @@ def trace_spans_by_tag(spark, sf_dir):
     return s.where(traces.predicate(tags={"k": "7"}) | traces.predicate(tags={"error": "true"})).select("span_id")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS \"traceID\", 'op' || (event_id % 4)::VARCHAR AS \"operationName\", CAST(count(*) AS BIGINT) AS n, CAST(min(epoch_us(ts)) AS BIGINT) AS first_us FROM events WHERE user_id <= 5 GROUP BY ALL")
+@query("SELECT CAST(user_id AS VARCHAR) AS \"traceID\", 'op' || (event_id % 4)::VARCHAR AS \"operationName\", CAST(count(*) AS BIGINT) AS n, CAST(min(epoch_us(ts)) AS BIGINT) AS first_us FROM events GROUP BY ALL")
 def trace_view(spark, sf_dir):
-    view = traces.jaeger_span(spans(spark, sf_dir).where("cast(trace_id as long) <= 5"))
+    view = traces.jaeger_span(spans(spark, sf_dir))
     return view.groupBy("traceID", "operationName").agg(F.count("*").alias("n"), F.min("startTime").alias("first_us"))
 
 
@@ -129,12 +129,10 @@ def _day(c: str = "ts"):
 
 
 def _splits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """The events as if each day were a split, and the manifest of those splits."""
-    e = table(spark, sf_dir, "events").withColumn("split_id", _day())
+    """The events as if each day and type were a split, and the manifest of those splits."""
+    e = table(spark, sf_dir, "events").withColumn("split_id", F.concat(_day(), F.lit("-"), F.col("event_type")))
     s = F.unix_seconds(F.col("ts").cast("timestamp"))
     tag = F.concat(F.lit("event_type:"), F.col("event_type"))
-    kept = F.when(F.dayofmonth("ts") % 2 == 0, F.col("event_type") != "error").otherwise(F.lit(True))
-    e = e.where(kept)
     m = e.groupBy("split_id").agg(
         F.col("split_id").alias("path"), F.lit("published").alias("state"), F.count("*").alias("num_docs"), F.lit(0).cast("long").alias("bytes"), F.min(s).alias("time_start"), F.max(s).alias("time_end"),
         F.concat(F.array(F.lit("event_type!")), F.array_sort(F.collect_set(tag))).alias("tags"), F.lit(0).cast("long").alias("partition_id"), F.lit(0).cast("long").alias("create_time"), F.lit(0).cast("long").alias("maturity"),
@@ -143,25 +141,25 @@ def _splits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return e, m
 
 
-@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS split_id FROM events WHERE event_type = 'error' AND day(ts) % 2 = 1")
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '-error' AS split_id FROM events WHERE event_type = 'error'")
 def split_prune_tags(spark, sf_dir):
     _, m = _splits(spark, sf_dir)
     return meta.prune(m, index(spark, sf_dir, "events"), A.Term("event_type", "error")).select("split_id")
 
 
-@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS split_id FROM events WHERE (day(ts) % 2 = 1 OR event_type <> 'error') AND ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-14'")
+@query("SELECT DISTINCT strftime(ts, '%Y-%m-%d') || '-' || event_type AS split_id FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-14'")
 def split_prune_time(spark, sf_dir):
     _, m = _splits(spark, sf_dir)
     q = A.Bool(filter=(A.Range("ts", gte="2024-01-10T00:00:00Z"),))
     return meta.prune(m, index(spark, sf_dir, "events"), q, None, 1705190400).select("split_id")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS num_published_splits, CAST(sum(n) AS BIGINT) AS num_published_docs FROM (SELECT count(*) AS n FROM events WHERE day(ts) % 2 = 1 OR event_type <> 'error' GROUP BY date_trunc('day', ts))")
+@query("SELECT CAST(count(*) AS BIGINT) AS num_published_splits, CAST(sum(n) AS BIGINT) AS num_published_docs FROM (SELECT count(*) AS n FROM events GROUP BY date_trunc('day', ts), event_type)")
 def describe_index(spark, sf_dir):
     return meta.describe(_splits(spark, sf_dir)[1]).select("num_published_splits", "num_published_docs")
 
 
-@query("SELECT split_id, num_docs FROM (SELECT strftime(ts, '%Y-%m-%d') AS split_id, CAST(count(*) AS BIGINT) AS num_docs FROM events WHERE day(ts) % 2 = 1 OR event_type <> 'error' GROUP BY 1) ORDER BY split_id LIMIT 5 OFFSET 3")
+@query("SELECT split_id, num_docs FROM (SELECT strftime(ts, '%Y-%m-%d') || '-' || event_type AS split_id, CAST(count(*) AS BIGINT) AS num_docs FROM events GROUP BY 1) ORDER BY split_id LIMIT 5 OFFSET 3")
 def list_splits(spark, sf_dir):
     return meta.list_splits(_splits(spark, sf_dir)[1], offset=3, limit=5).select("split_id", "num_docs")
 
@@ -239,10 +237,10 @@ def ingest_errors(spark, sf_dir):
     return ingest.counts(readers.parse(docs, m))
 
 
-@query("SELECT event_id::VARCHAR AS span_id, event_type AS service_name, CAST(epoch_us(ts) // 1000 AS BIGINT) AS start_ms, CAST(floor(value) AS BIGINT) AS duration_ms, json_extract_string(props, '$.k') AS k FROM events WHERE event_type IN ('error', 'signup')")
+@query("SELECT event_id::VARCHAR AS span_id, event_type AS service_name, CAST(epoch_us(ts) // 1000 AS BIGINT) AS start_ms, CAST(floor(value) AS BIGINT) AS duration_ms, json_extract_string(props, '$.k') AS k FROM events")
 def otlp_flatten(spark, sf_dir):
     """Messages of one span each, made of the events, flattened again."""
-    e = table(spark, sf_dir, "events").where("event_type in ('error', 'signup')")
+    e = table(spark, sf_dir, "events")
     start = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
     attr = lambda k, v: F.array(F.struct(F.lit(k).alias("key"), F.struct(v.alias("stringValue")).alias("value")))
     span = F.struct(
@@ -255,9 +253,12 @@ def otlp_flatten(spark, sf_dir):
     return s.select("span_id", "service_name", F.unix_millis("span_start_timestamp").alias("start_ms"), F.col("span_duration_millis").alias("duration_ms"), F.col("span_attributes")["k"].alias("k"))
 
 
-@query("SELECT 'events' AS name, event_id AS id FROM events WHERE event_id <= 3 UNION ALL SELECT 'other', event_id FROM events WHERE event_id BETWEEN 4 AND 5")
+@query("SELECT CASE WHEN event_id % 3 = 0 THEN 'other' ELSE 'events' END AS name, event_id AS id, event_type AS kind FROM events")
 def bulk_ingest(spark, sf_dir):
-    """A bulk body of action and document lines."""
-    ids = [r[0] for r in table(spark, sf_dir, "events").where("event_id <= 5").orderBy("event_id").select("event_id").collect()]
-    body = "\n".join('{"%s": {%s}}\n{"id": %d}' % ("index" if i % 2 else "create", "" if i <= 3 else '"_index": "other"', i) for i in ids)
-    return spark.createDataFrame(readers.bulk(body, "events"), "name string, doc string").select("name", F.get_json_object("doc", "$.id").cast("long").alias("id"))
+    """Bulk bodies of action and document lines, one for some hundred events each."""
+    e = table(spark, sf_dir, "events")
+    action = F.when(F.col("event_id") % 3 == 0, F.lit('{"create": {"_index": "other"}}')).otherwise(F.lit('{"index": {}}'))
+    lines = F.concat(action, F.lit("\n"), F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("kind"))), F.lit("\n\n"))
+    bodies = e.groupBy(F.floor(F.col("event_id") / 200)).agg(F.array_join(F.collect_list(lines), "").alias("body"))
+    docs = readers.bulk_bodies(bodies, "body", "events")
+    return docs.select("name", F.get_json_object("doc", "$.id").cast("long").alias("id"), F.get_json_object("doc", "$.kind").alias("kind"))

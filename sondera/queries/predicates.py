@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import api
 from ..functions import scalars
 from ..mapping import Field, Index, Mapping
 from ..operators import search
@@ -239,3 +240,14 @@ def lenient_literal(spark, sf_dir):
     ix = index(spark, sf_dir, "documents")
     q = lang.parse("lang:de AND doc_id:>=10 AND NOT n_chars:many")
     return ix.df.where(Compiler(ix, lenient=True).predicate(q)).select("doc_id")
+
+
+@query(D + _phrase_sql("public", "license"))
+def es_match_phrase(spark, sf_dir):
+    return _docs(spark, sf_dir, {"match_phrase": {"text": {"query": "Public License"}}})
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS count FROM events WHERE event_type = 'error' AND value >= 50")
+def es_count(spark, sf_dir):
+    n = api.es_count(index(spark, sf_dir, "events"), {"query": {"bool": {"must": [{"term": {"event_type": "error"}}], "filter": [{"range": {"value": {"gte": 50}}}]}}})
+    return spark.createDataFrame([(n,)], "count long")

@@ -23,21 +23,11 @@ def topk_two_keys(spark, sf_dir):
     return search.top(index(spark, sf_dir, "orders"), search.Request(max_hits=25, sort=search.parse_sort("-o_custkey,+o_totalprice"))).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-_NULLED = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders WHERE o_orderkey <= 60"
-
-
-@query(f"SELECT * FROM ({_NULLED}) ORDER BY price ASC NULLS LAST, o_orderkey ASC LIMIT 50")
+@query("SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 490000 THEN o_totalprice END AS price FROM orders) ORDER BY price ASC NULLS LAST, o_orderkey ASC LIMIT 1000")
 def topk_nulls_last(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderkey <= 60").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"))
-    ix = Index(df)
-    return search.top(ix, search.Request(max_hits=50, sort=[("price", False)]))
-
-
-@query("SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice END AS price FROM orders) ORDER BY price ASC NULLS LAST, o_orderkey ASC LIMIT 50")
-def topk_nulls_last_all(spark, sf_dir):
-    """As ``topk_nulls_last``, over all orders."""
-    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice")).alias("price"))
-    return search.top(Index(df), search.Request(max_hits=50, sort=[("price", False)]))
+    """Most orders have no value; they follow those that have one."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.when((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 490000), F.col("o_totalprice")).alias("price"))
+    return search.top(Index(df), search.Request(max_hits=1000, sort=[("price", False)]))
 
 
 @query("SELECT event_id, user_id FROM events ORDER BY user_id DESC, event_id DESC LIMIT 40")

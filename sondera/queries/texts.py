@@ -100,7 +100,7 @@ def bytes_and_addresses(spark, sf_dir):
     return e.select("event_id", "hexed", F.decode(scalars.decode_bytes(F.rtrim(F.col("b64"), F.lit("="))), "utf-8").alias("back"), "ip", scalars.ip_to_hex(F.col("ip")).alias("ip_hex"))
 
 
-@query(f"SELECT CAST({literals.fixed_interval_ms('90m')} AS BIGINT) AS fixed_ms, CAST({7 * 86_400_000} AS BIGINT) AS human_ms")
+@query("SELECT CAST(5400000 AS BIGINT) AS fixed_ms, CAST(604800000 AS BIGINT) AS human_ms")
 def durations(spark, sf_dir):
     row = [(literals.fixed_interval_ms("90m"), literals.human_duration_ms("1 week"))]
     return spark.createDataFrame(row, "fixed_ms long, human_ms long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import span_fingerprint
+from ..functions.scalars import floor_div, span_fingerprint
 
 _VALUE = "struct<stringValue:string,intValue:string,doubleValue:double,boolValue:boolean>"
 _ATTR = f"array<struct<key:string,value:{_VALUE}>>"
@@ -37,7 +37,7 @@ def _map(attrs: Column) -> Column:
 
 
 def _ts(nanos: Column) -> Column:
-    return F.timestamp_micros(F.floor(nanos / 1000).cast("long"))
+    return F.timestamp_micros(floor_div(nanos, 1000))
 
 
 def _number(c: Column, names: dict[str, int]) -> Column:
@@ -59,7 +59,7 @@ def spans(raw: DataFrame, column: str = "value") -> DataFrame:
     return m.select(
         F.col("p.traceId").alias("trace_id"), F.col("p.spanId").alias("span_id"), F.col("p.traceState").alias("trace_state"), parent.alias("parent_span_id"), service.alias("service_name"), no_service.alias("resource_attributes"),
         F.col("scope.name").alias("scope_name"), F.col("scope.version").alias("scope_version"), F.col("p.name").alias("span_name"), kind.alias("span_kind"), _ts(start).alias("span_start_timestamp"), _ts(end).alias("span_end_timestamp"),
-        start.alias("span_start_timestamp_nanos"), end.alias("span_end_timestamp_nanos"), F.floor((end - start) / 1_000_000).cast("long").alias("span_duration_millis"), _map(F.col("p.attributes")).alias("span_attributes"),
+        start.alias("span_start_timestamp_nanos"), end.alias("span_end_timestamp_nanos"), floor_div(end - start, 1_000_000).alias("span_duration_millis"), _map(F.col("p.attributes")).alias("span_attributes"),
         F.struct(F.when(code == 1, "ok").when(code == 2, "error").otherwise("unset").alias("code"), F.col("p.status.message").alias("message")).alias("span_status"),
         F.transform("p.events", lambda e: F.struct(_ts(e["timeUnixNano"].cast("long")).alias("timestamp"), e["name"].alias("name"), _map(e["attributes"]).alias("attributes"))).alias("events"),
         F.transform("p.events", lambda e: e["name"]).alias("event_names"),

@@ -26,6 +26,8 @@ def file_source(spark: SparkSession, params: dict, streaming: bool = False) -> D
         for k in ("maxFilesPerTrigger", "latestFirst"):
             if k in params:
                 r = r.option(k, params[k])
+        if params.get("binary"):
+            return r.format("binaryFile").load(path).select(F.col("content").alias("value"))
         return r.text(path)
     if params.get("binary"):
         return spark.read.format("binaryFile").load(path).select(F.col("content").alias("value"))
@@ -206,3 +208,17 @@ def bulk(body: str, default_index: str | None = None) -> list[tuple[str, str]]:
             raise QueryError("a bulk action has no document")
         out.append((index, lines[i + 1]))
     return out
+
+
+def bulk_bodies(df: DataFrame, body: str, default_index: str | None = None) -> DataFrame:
+    """As :func:`bulk`, of a column of bodies: a row (name, doc) for each pair of lines.
+    Other actions, and actions without an index or a document, are errors."""
+    lines = F.filter(F.split(body, "\n"), lambda x: F.trim(x) != "")
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_lines") - 1, F.lit(2)), lambda i: F.struct(F.get("_lines", i).alias("action"), F.get("_lines", i + 1).alias("doc")))
+    out = df.select(lines.alias("_lines")).where(F.size("_lines") > 0).select(F.explode(pairs).alias("_p")).select("_p.action", "_p.doc")
+    meta = [F.from_json("action", f"{name} map<string,string>")[name] for name in ("index", "create")]
+    known = F.coalesce(*meta)
+    wrong = lambda text: F.raise_error(F.concat(F.lit(text), "action")).cast("string")
+    name = F.coalesce(F.element_at(known, "_index"), F.lit(default_index))
+    name = F.when(known.isNull(), wrong("this bulk action is not supported: ")).when(F.col("doc").isNull(), wrong("a bulk action has no document: ")).when(name.isNull(), wrong("a bulk action names no index: ")).otherwise(name)
+    return out.select(name.alias("name"), "doc")
