@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .errors import MappingError, QueryError
 from .functions import analysis
 from .functions.scalars import glob_match
+from .manifest import Manifest
 from .mapping import Index, Mapping
 from .operators import maintain, meta, search
 from .plans import ast as A
@@ -84,14 +85,11 @@ class Catalog:
     def clear(self, index_id: str) -> None:
         """Drop all documents and start the sources over."""
         self.config(index_id)
-        for part in ("data", "manifest", "checkpoint", "landing"):
+        for part in ("data", "manifest", "manifest-base", "manifest-versions", "checkpoint", "landing"):
             self._fs.delete(self._path(f"{self._folder(index_id)}/{part}"), True)
 
     def manifest(self, index_id: str) -> DataFrame:
-        path = f"{self._folder(index_id)}/manifest"
-        if not self._exists(path):
-            return self.spark.createDataFrame([], meta.SPLIT)
-        return self.spark.read.schema(meta.SPLIT).option("recursiveFileLookup", "true").parquet(path)
+        return Manifest(self.spark, self._folder(index_id)).read()
 
     def describe(self, index_id: str) -> DataFrame:
         return meta.describe(self.manifest(index_id)).withColumn("index_id", F.lit(index_id))
@@ -156,21 +154,16 @@ class Catalog:
 
     # Splits
 
-    def _replace_manifest(self, index_id: str, rows: DataFrame) -> None:
-        """Write the new manifest beside the old one, then swap."""
-        base = f"{self._folder(index_id)}/manifest"
-        rows.write.mode("overwrite").parquet(base + "-new")
-        self._fs.delete(self._path(base), True)
-        self._fs.rename(self._path(base + "-new"), self._path(base))
+    def _change(self, index_id: str, f) -> None:
+        Manifest(self.spark, self._folder(index_id)).change(f)
 
     def mark_for_deletion(self, index_id: str, split_ids: list[str]) -> None:
-        m = self.manifest(index_id)
-        self._replace_manifest(index_id, m.withColumn("state", F.when(F.col("split_id").isin(split_ids), "marked").otherwise(F.col("state"))))
+        self._change(index_id, lambda m: maintain.marked(m, F.col("split_id").isin(split_ids), int(time.time())))
 
     def retain(self, index_id: str, now: int | None = None) -> None:
         policy = self.config(index_id).get("retention")
         if policy:
-            self._replace_manifest(index_id, maintain.retention(self.manifest(index_id), policy["period"], now or int(time.time())))
+            self._change(index_id, lambda m: maintain.retention(m, policy["period"], now or int(time.time())))
 
     def collect_garbage(self, index_id: str, now: int | None = None) -> int:
         """Delete the files of marked splits after their grace; returns how many."""
@@ -180,9 +173,13 @@ class Catalog:
             self._fs.delete(self._path(r["path"]), False)
         ids = [r["split_id"] for r in gone]
         if ids:
-            self._replace_manifest(index_id, self.manifest(index_id).where(~F.col("split_id").isin(ids)))
+            self._change(index_id, lambda m: m.where(~F.col("split_id").isin(ids)))
         return len(ids)
 
+    def _swap(self, index_id: str, ids: list[str], new: DataFrame) -> None:
+        """Mark splits and publish those that stand for them, so that no reader sees both or none."""
+        self._change(index_id, lambda m: maintain.marked(m, F.col("split_id").isin(ids), int(time.time())).unionByName(new))
+
     def merge(self, index_id: str) -> int:
         """Run the merges that the index's policy plans; returns how many."""
         from .streaming.ingest import write_splits
@@ -195,13 +192,8 @@ class Catalog:
         plans = p.plan([maintain.Split(r["split_id"], r["num_docs"], r["merge_ops"], r["maturity"], r["time_end"], r["create_time"], r["partition_id"]) for r in rows])
         for group in plans:
             df = self.spark.read.parquet(*[paths[s.split_id] for s in group])
-            write_splits(df.coalesce(1), mapping, self._folder(index_id))
-            ops = 1 + max(s.merge_ops for s in group)
-            ids = [s.split_id for s in group]
-            before = set(paths)
-            m = self.manifest(index_id)
-            m = m.withColumn("state", F.when(F.col("split_id").isin(ids), "marked").otherwise(F.col("state")))
-            self._replace_manifest(index_id, m.withColumn("merge_ops", F.when(~F.col("split_id").isin(sorted(before)), F.lit(ops)).otherwise(F.col("merge_ops"))))
+            new = write_splits(df.coalesce(1), mapping, self._folder(index_id), publish=False)
+            self._swap(index_id, [s.split_id for s in group], new.withColumn("merge_ops", F.lit(1 + max(s.merge_ops for s in group))))
         return len(plans)
 
     def delete_where(self, index_id: str, query: A.Node, start: int | None = None, end: int | None = None) -> int:
@@ -218,8 +210,7 @@ class Catalog:
         p = Compiler(ix).predicate(query) & search.interval(ix, start, end)
         gone = df.where(p).count()
         if gone:
-            write_splits(df.where(~p), mapping, self._folder(index_id))
-            self.mark_for_deletion(index_id, [r["split_id"] for r in hit])
+            self._swap(index_id, [r["split_id"] for r in hit], write_splits(df.where(~p), mapping, self._folder(index_id), publish=False))
         return gone
 
 

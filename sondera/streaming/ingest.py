@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..errors import MappingError
 from ..functions.scalars import hash_mod
+from ..manifest import Manifest
 from ..mapping import Mapping
-from ..operators.meta import SPLIT
 from ..sources import readers
 
 MOST_TAGS = 1000
@@ -75,16 +75,20 @@ def counts(parsed: DataFrame) -> DataFrame:
     return parsed.groupBy(F.coalesce("_error", F.lit("valid")).alias("outcome")).agg(F.count("*").alias("docs"))
 
 
-def write_splits(docs: DataFrame, mapping: Mapping, folder: str, batch_id: int | None = None, settings: Settings | None = None) -> DataFrame:
-    """Write documents as Parquet files by day and partition; returns the manifest rows.
+def write_splits(docs: DataFrame, mapping: Mapping, folder: str, batch_id: int | None = None, settings: Settings | None = None, publish: bool = True) -> DataFrame:
+    """Write documents as Parquet files by day and partition; returns the manifest rows, of
+    the new files alone where these are not to be published yet.
 
-    The files of a batch lie in a folder named by the batch, which a repeated batch
-    replaces, so a batch that is tried again is written once.
+    The files of a batch lie in a folder named by the batch.  A batch that is tried again
+    replaces them; one that is in the manifest already is not written again, as its files
+    may have been merged since.
     """
     settings = settings or Settings()
     spark = docs.sparkSession
     name = f"batch={batch_id:012d}" if batch_id is not None else f"append={uuid.uuid4().hex}"
-    path = f"{folder}/data/{name}"
+    path, held = f"{folder}/data/{name}", Manifest(spark, folder)
+    if batch_id is not None and held.committed(name):
+        return held.read()
     out = docs.withColumn("_partition", routing(mapping.partition_key, mapping.max_partitions))
     ts = F.col(mapping.timestamp).cast("timestamp") if mapping.timestamp else None
     out.write.mode("overwrite").option("maxRecordsPerFile", settings.split_docs).partitionBy("_partition").parquet(path)
@@ -102,14 +106,16 @@ def write_splits(docs: DataFrame, mapping: Mapping, folder: str, batch_id: int |
     )
     manifest = rows.select(
         F.sha2("path", 256).substr(1, 26).alias("split_id"), "path", F.lit("published").alias("state"), "num_docs", F.col("bytes").cast("long"), "time_start", "time_end", "tags", F.col("partition_id").cast("long"),
-        F.lit(now).cast("long").alias("create_time"), F.lit(0).cast("long").alias("maturity"), F.lit(0).cast("long").alias("delete_opstamp"), F.lit(0).alias("merge_ops"),
+        F.lit(now).cast("long").alias("create_time"), F.lit(0).cast("long").alias("maturity"), F.lit(0).cast("long").alias("delete_opstamp"), F.lit(0).alias("merge_ops"), F.lit(now).cast("long").alias("update_time"),
     )
-    manifest.write.mode("overwrite").parquet(f"{folder}/manifest/{name}")
-    return read_manifest(spark, folder)
+    if not publish:
+        return manifest
+    held.add(manifest, name)
+    return held.read()
 
 
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(SPLIT).option("recursiveFileLookup", "true").parquet(f"{folder}/manifest")
+    return Manifest(spark, folder).read()
 
 
 def ingest(spark: SparkSession, source: dict, mapping: Mapping, folder: str, settings: Settings | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, available_now: bool = True):
