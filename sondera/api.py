@@ -5,9 +5,11 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .errors import QueryError
+from .functions import literals
 from .mapping import Index
 from .operators import aggs as aggregations
 from .operators import export, meta, search
@@ -65,30 +67,69 @@ def request_of(index: Index, body: dict | None = None, params: dict | None = Non
     sort = params.get("sort") or body.get("sort") or []
     if isinstance(sort, str):
         sort = sort.split(",")
-    return search.Request(query, max_hits=int(params.get("size", body.get("size", 10))), start_offset=int(params.get("from", body.get("from", 0))), sort=search.parse_es_sort(sort) if sort else [], search_after=body.get("search_after"), aggs=body.get("aggs") or body.get("aggregations"))
+    return search.Request(query, max_hits=int(params.get("size", body.get("size", 10))), start_offset=int(params.get("from", body.get("from", 0))), sort=search.parse_es_sort(sort) if sort else [], search_after=body.get("search_after"), count_all=params.get("track_total_hits", body.get("track_total_hits", True)) not in (False, "false"), aggs=body.get("aggs") or body.get("aggregations"))
 
 
 def es_search(index: Index, body: dict | None = None, params: dict | None = None) -> dict:
     """A JSON search to a JSON answer; every hit carries its sort values."""
     r = request_of(index, body, params)
     got = run(index, search.Request(**{**r.__dict__, "max_hits": 0}))
-    hits = []
-    if r.max_hits:
-        top = search.top(index, r)
-        names = [n for n, _ in r.sort]
-        keys = [search._key(index, n).alias(f"_sort{i}") for i, n in enumerate(names)]
-        rows = top.select(F.to_json(F.struct(*export.output(index.with_df(top)))).alias("json"), F.col(index.id).alias("_hit"), *[_sort_value(index, n, k).alias(f"_sort{i}") for i, (n, k) in enumerate(zip(names, keys, strict=True))])
-        for x in rows.collect():
-            hit = {"_index": index.name, "_id": str(x["_hit"]), "_source": x["json"]}
-            if names:
-                hit["sort"] = [x[f"_sort{i}"] for i in range(len(names))] + [x["_hit"]]
-            hits.append(hit)
-    out = {"took": 0, "timed_out": False, "hits": {"total": {"value": got["num_hits"], "relation": "eq"}, "max_score": None, "hits": hits}}
+    hits = _hits(index, search.top(index, r), r) if r.max_hits else []
+    # A total that was not asked for is not counted.
+    total = {"value": got["num_hits"], "relation": "eq"} if r.count_all else {"value": r.start_offset + len(hits), "relation": "gte"}
+    out = {"took": 0, "timed_out": False, "hits": {"total": total, "max_score": None, "hits": hits}}
     if "aggregations" in got:
         out["aggregations"] = got["aggregations"]
     return out
 
 
+def _hits(index: Index, top: DataFrame, r: search.Request) -> list[dict]:
+    """The hits of a page with their sort values."""
+    names = [n for n, _ in r.sort]
+    keys = [search._key(index, n).alias(f"_sort{i}") for i, n in enumerate(names)]
+    rows = top.select(F.to_json(F.struct(*export.output(index.with_df(top)))).alias("json"), F.col(index.id).alias("_hit"), *[_sort_value(index, n, k).alias(f"_sort{i}") for i, (n, k) in enumerate(zip(names, keys, strict=True))])
+    hits = []
+    for x in rows.collect():
+        hit = {"_index": index.name, "_id": str(x["_hit"]), "_source": x["json"]}
+        if names:
+            hit["sort"] = [x[f"_sort{i}"] for i in range(len(names))] + [x["_hit"]]
+        hits.append(hit)
+    return hits
+
+
+class Scrolls:
+    """Open scrolls by id.  The ranked documents of each lie in ``folder``."""
+
+    def __init__(self, folder: str):
+        self.folder, self._open = folder, {}
+
+    def begin(self, index: Index, body: dict | None = None, params: dict | None = None) -> dict:
+        """The first page of a search with ``scroll`` (how long it lives) among its parameters."""
+        params = dict(params or {})
+        ttl = literals.human_duration_ms(params.pop("scroll", "5m"))
+        r = request_of(index, body, params)
+        if r.start_offset:
+            raise QueryError("a scroll begins with the first hit")
+        s = search.Scroll(index, r, self.folder, ttl)
+        self._open[s.id] = (s, index, r, search.count(index, r).first()["count"])
+        return self.next(s.id)
+
+    def next(self, scroll_id: str) -> dict:
+        """The page that follows; without hits behind the last one."""
+        if scroll_id not in self._open:
+            raise QueryError(f"there is no scroll {scroll_id!r}")
+        s, index, r, total = self._open[scroll_id]
+        try:
+            page = s.next()
+        except QueryError:
+            self.end(scroll_id)
+            raise
+        return {"_scroll_id": scroll_id, "timed_out": False, "hits": {"total": {"value": total, "relation": "eq"}, "max_score": None, "hits": _hits(index, page, r)}}
+
+    def end(self, scroll_id: str) -> None:
+        self._open.pop(scroll_id, None)
+
+
 def _sort_value(index: Index, name: str, key):
     if name in ("_score", "_doc", "_shard_doc"):
         return key

@@ -8,6 +8,7 @@ does.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import replace
 from functools import reduce
 
@@ -265,12 +266,13 @@ class Compiler:
         return self._any_term(r, unique) if node.mode == "bool" and node.operator == "or" else self._all_terms(r, unique)
 
     def wildcard(self, node: A.Wildcard) -> Column:
-        if not node.value.endswith("*") or "*" in node.value[:-1] or "?" in node.value:
+        m = re.fullmatch(r"((?:[^*?\\]|\\.)*)\*", node.value, re.S)
+        if m is None:
             raise QueryError(f"{node.value!r}: an asterisk may only end a value")
         r = self.index.resolve(node.field)
         if r.field.kind not in ("text", "json"):
             raise QueryError(f"{node.field!r} holds no text")
-        start = node.value[:-1]
+        start = re.sub(r"\\(.)", r"\1", m[1], flags=re.S)
         if r.field.tokenizer != "raw":
             start = start.lower()
         if r.field.kind == "text" and r.field.tokenizer == "raw" and not r.field.array and not r.field.tokens:

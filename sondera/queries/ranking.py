@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..mapping import Index
 from ..operators import export, search, termstats
 from ..plans import dsl
-from .. import scratch
+from .. import api, scratch
 from .base import DOCUMENTS, D, ORDERS, index, query, table
 
 _O = ("o_orderkey", "o_totalprice")
@@ -134,3 +134,16 @@ def olap_semi_join(spark, sf_dir):
 def topk_text_query(spark, sf_dir):
     ix = Index(table(spark, sf_dir, "documents"), DOCUMENTS, "documents")
     return search.top(ix, search.Request("apache AND lang:en", max_hits=5, sort=[("n_chars", False)])).select("doc_id")
+
+
+@query("SELECT page, o_orderkey FROM (SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey DESC) - 1) // 50 AS INTEGER) AS page FROM orders WHERE o_totalprice >= 480000) WHERE page < 3")
+def es_scroll(spark, sf_dir):
+    """The first three pages of a scroll."""
+    ix = index(spark, sf_dir, "orders")
+    scrolls = api.Scrolls(scratch.folder(spark, "scrolls"))
+    page = scrolls.begin(ix, {"query": {"range": {"o_totalprice": {"gte": 480000}}}, "size": 50, "sort": [{"o_totalprice": "desc"}]}, {"scroll": "1m"})
+    rows = []
+    for k in range(3):
+        rows += [(k, int(h["_id"])) for h in page["hits"]["hits"]]
+        page = scrolls.next(page["_scroll_id"])
+    return spark.createDataFrame(rows, "page int, o_orderkey long")

@@ -8,10 +8,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sondera import api
+from sondera.errors import QueryError
 from sondera.functions import scalars
 from sondera.mapping import Field, Index, Mapping
 from sondera.operators import aggs
-from sondera.plans import compile
+from sondera.plans import compile, dsl, lang
 from sondera.sources import readers
 
 
@@ -60,3 +62,22 @@ def test_bulk_bodies_like_bulk(spark, body, error):
     assert [tuple(r) for r in readers.bulk_bodies(df, "body").collect()] == readers.bulk(good)
     with pytest.raises(Exception, match=error):
         readers.bulk_bodies(spark.createDataFrame([(body,)], "body string"), "body").collect()
+
+
+def test_escapes_in_wildcards(spark):
+    df = spark.createDataFrame([("a*b",), ("axb",), ("a?",), ("a\\c",), ("b",)], "k string")
+    ix = Index(df, Mapping((Field("k", "text", tokenizer="raw"),)))
+    found = lambda v: sorted(r[0] for r in df.where(compile.Compiler(ix).predicate(dsl.parse({"wildcard": {"k": {"value": v}}}))).collect())
+    assert found("a*") == ["a*b", "a?", "a\\c", "axb"]
+    assert found("a\\**") == ["a*b"] and found("a\\?*") == ["a?"] and found("a\\\\*") == ["a\\c"] and found("*") == ["a*b", "a?", "a\\c", "axb", "b"]
+    assert df.where(compile.Compiler(ix).predicate(lang.parse("k:a\\**"))).count() == 1
+    for v in ("a*b*", "a", "a?*", "a\\*"):
+        with pytest.raises(QueryError):
+            found(v)
+
+
+def test_total_that_is_not_asked_for(spark):
+    df = spark.range(30).withColumnRenamed("id", "n")
+    ix = Index(df, Mapping((Field("n", "i64"),), id_column="n"), "x")
+    assert api.es_search(ix, {"size": 5})["hits"]["total"] == {"value": 30, "relation": "eq"}
+    assert api.es_search(ix, {"size": 5, "track_total_hits": False})["hits"]["total"] == {"value": 5, "relation": "gte"}
