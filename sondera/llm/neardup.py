@@ -52,6 +52,8 @@ from .members import near_set
 
 M, MANTISSA = 128, 10
 BLOCK, ROUNDS = 1024, 4
+#: Parts that the rows of a group of more than a block are dealt in.
+SALTS = 32
 #: Pairs of at least this similarity keep their difference.  A member that is closer to
 #: its hub by the distance of a link cannot link with one that is further off than this.
 CLOSE = 0.45
@@ -305,13 +307,21 @@ def _one_by_one(threshold: float):
 
 
 def in_blocks(rows: DataFrame, group: str, left: DataFrame, work, block: int = BLOCK) -> DataFrame:
-    """Every left row of a group against all its rows, in blocks of about ``block`` rows."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block).alias("nj"))
-    firsts = left.groupBy(group).agg(F.ceil(F.count("*") / block).alias("ni"))
-    n = sizes.join(firsts, group)
+    """Every left row of a group against all its rows, in blocks of about ``block`` rows.
+    A group of one block needs no numbers; the rows of larger ones are dealt by ``salt``, so
+    that neither the numbers nor the blocks of a group come together in one task."""
+    count = lambda df, name: df.groupBy(group).agg(F.ceil(F.count("*") / block).alias(name))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    a = left.join(n, group).withColumn("i", F.pmod(F.xxhash64("b"), F.col("ni"))).withColumn("j", every("nj")).withColumn("role", F.lit(0))
-    b = rows.join(n, group).withColumn("j", F.pmod(F.xxhash64("b"), F.col("nj"))).withColumn("i", every("ni")).withColumn("role", F.lit(1))
+    large = count(rows, "nj").join(count(left, "ni"), group, "left").withColumn("ni", F.coalesce("ni", F.lit(1).cast("long"))).where("ni > 1 or nj > 1")
+    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+    def numbered(df: DataFrame) -> DataFrame:
+        one = F.lit(1).cast("long")
+        dealt = df.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS).cast("long"))).join(large, [group, "salt"], "left")
+        return dealt.withColumn("ni", F.coalesce("ni", one)).withColumn("nj", F.coalesce("nj", one)).withColumn("at", F.xxhash64("b", F.lit(1)))
+
+    a = numbered(left).withColumn("i", F.pmod("at", "ni")).withColumn("j", every("nj")).withColumn("role", F.lit(0))
+    b = numbered(rows).withColumn("j", F.pmod("at", "nj")).withColumn("i", every("ni")).withColumn("role", F.lit(1))
     cols = [*rows.columns, "i", "j", "role"]
     return a.select(cols).unionByName(b.select(cols)).groupBy(group, "i", "j").applyInArrow(work, "a long, b long")
 
