@@ -15,12 +15,13 @@ other lacks.  Members that met the same hub are compared through it,
 
     |A & B| = |H| - |(H - A) | (H - B)| + |(A - H) & (B - H)|,
 
-which is exact and needs the short differences only, so that members of different
+which is exact and needs the differences only, so that members of different
 components are confirmed against each other without their texts and only links
-leave the task.  Members of a band that are not close to its hub get further hubs
-among themselves; what is left after ``rounds`` of them is compared member by
-member.  So no pair that shares a band is lost, and the rows that a large group of
-copies makes stay in proportion to its size.
+leave the task.  A band is done once all its members have met one hub.  Until then
+those that are not close to the hub get further hubs among themselves; what is left
+after ``rounds`` of them meets one more, whatever the registers say.  So no pair that
+shares a band is lost, and no pair but that of a member and a hub of its band is
+ever a row: the rows that a large group makes stay in proportion to its size.
 
 Sets so small that one further shingle brings the similarity under the threshold
 link with equal sets only and need no bands.  From 0.85 on there are 25 bands of
@@ -42,7 +43,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
@@ -52,6 +53,8 @@ from .members import near_set
 
 M, MANTISSA = 128, 10
 BLOCK, ROUNDS = 1024, 4
+#: Differences that a block holds on each side.
+BLOCK_BYTES = 32 << 20
 #: Parts that the rows of a group of more than a block are dealt in.
 SALTS = 32
 #: Pairs of at least this similarity keep their difference.  A member that is closer to
@@ -291,26 +294,13 @@ def _through_hub(percent: int):
     return work
 
 
-def _one_by_one(threshold: float):
-    def work(table: pa.Table) -> pa.Table:
-        """Pairs between left and right members of a block that the registers do not rule out."""
-        reg, rep, role = _reg(table.column("registers").combine_chunks()), table.column("b").to_numpy(), table.column("role").to_numpy()
-        left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        found: set[tuple[int, int]] = set()
-        for i in left:
-            for j in right[may_reach(reg[i][None, :], reg[right], threshold) & (rep[right] > rep[i])]:
-                found.add((rep[i], rep[j]))
-        pairs = sorted(found)
-        return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-    return work
-
-
-def in_blocks(rows: DataFrame, group: str, left: DataFrame, work, block: int = BLOCK) -> DataFrame:
-    """Every left row of a group against all its rows, in blocks of about ``block`` rows.
+def in_blocks(rows: DataFrame, group: str, left: DataFrame, work, block: int = BLOCK, size: Column | None = None) -> DataFrame:
+    """Every left row of a group against all its rows, in blocks of about ``block`` rows,
+    or of fewer where their ``size`` in bytes is above ``BLOCK_BYTES``.
     A group of one block needs no numbers; the rows of larger ones are dealt by ``salt``, so
     that neither the numbers nor the blocks of a group come together in one task."""
-    count = lambda df, name: df.groupBy(group).agg(F.ceil(F.count("*") / block).alias(name))
+    blocks = F.ceil(F.greatest(F.count("*") / block, F.sum(F.lit(0) if size is None else size) / BLOCK_BYTES))
+    count = lambda df, name: df.groupBy(group).agg(blocks.alias(name))
     every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     large = count(rows, "nj").join(count(left, "ni"), group, "left").withColumn("ni", F.coalesce("ni", F.lit(1).cast("long"))).where("ni > 1 or nj > 1")
     large = large.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
@@ -336,7 +326,7 @@ def through_hubs(met: DataFrame, comps: DataFrame, percent: int, block: int = BL
     main = by.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
     m = shared.materialize(m.join(main.select("a", "main"), "a").select("a", "b", "na", "minus", "plus", "component", "main"), "hub_members")
     rows = m.drop("main")
-    out = shared.materialize(in_blocks(rows, "a", m.where("component <> main").drop("main"), _through_hub(percent), block).distinct(), "hub_links")
+    out = shared.materialize(in_blocks(rows, "a", m.where("component <> main").drop("main"), _through_hub(percent), block, F.octet_length("minus") + F.octet_length("plus")).distinct(), "hub_links")
     shared.remove(m)
     return out
 
@@ -366,40 +356,35 @@ def links(documents: DataFrame, k: int = 5, percent: int = 80, rounds: int = ROU
                 keys = band_keys(_reg(b.column(1)), 5 if percent >= 85 else 4)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel(), pa.int64()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]), pa.int64())], names=["key", "rep"])
 
-    keyed = reps.mapInArrow(shared.tidy(bands), "key long, rep long")
+    keyed = reps.mapInArrow(shared.tidy(bands), "key long, rep long").withColumn("unmet", F.lit(True))
     met, tables, links_ = None, [], F.col("both") * 100 >= percent * (F.col("na") + F.octet_length("plus") / 8)
-    for n in range(rounds):
-        hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    for n in range(rounds + 1):
+        # A band whose members have all met one hub is done: they are compared through it.
+        hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("n"), F.bool_or("unmet").alias("open")).where("n > 1 and open").select("key", "hub")
         members = shared.materialize(keyed.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub"), "members")
         shared.remove(keyed)
         pairs = members.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
         if met is not None:
             pairs = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = shared.materialize(estimated(pairs, reps, close), "candidates")
+        pairs = shared.materialize(estimated(pairs, reps, close) if n < rounds else pairs, "candidates")
         if n == 0 or not pairs.isEmpty():
             tables.append(compared(pairs, docs, nodes, k))
             met = tables[0] if met is None else met.unionByName(tables[-1])
         # Close to its hub by more than the distance of a link: settled in this band.
-        settled = met.where(F.col("both") >= (close + 1 - threshold) * (F.col("na") + F.octet_length("plus") / 8)).select(F.col("a").alias("hub"), F.col("b").alias("rep"))
-        keyed = shared.materialize(members.join(settled, ["hub", "rep"], "left_anti").select("key", "rep"), "unsettled")
+        settled = F.col("both") >= (close + 1 - threshold) * (F.col("na") + F.octet_length("plus") / 8)
+        state = members.join(met.select(F.col("a").alias("hub"), F.col("b").alias("rep"), settled.alias("settled")), ["hub", "rep"], "left")
+        keyed = shared.materialize(state.where("settled is null or not settled").select("key", "rep", F.col("settled").isNull().alias("unmet")), "unsettled")
         shared.remove(pairs)
         shared.remove(members)
-        if keyed.isEmpty():
+        if keyed.where("unmet").isEmpty():
             break
     edges = shared.materialize(met.where(links_).select("a", "b").unionByName(same_id), "links")
     comps = components(edges)
     found = through_hubs(met, comps, percent)
-    left = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key")
-    rest = left.select("key", F.col("rep").alias("b")).join(reps.select(F.col("rep").alias("b"), "registers"), "b").select("key", "b", "registers")
-    pairs = shared.materialize(in_blocks(rest, "key", rest, _one_by_one(threshold)).distinct(), "rest")
-    if not pairs.isEmpty():
-        tables.append(compared(pairs, docs, nodes, k))
-        found = found.unionByName(tables[-1].where(links_).select("a", "b"))
-    found = shared.materialize(found, "more_links")
     if not found.isEmpty():
         edges = edges.unionByName(found)
         comps = components(edges)
-    for t in (*tables, reps, keyed, pairs):
+    for t in (*tables, reps, keyed):
         shared.remove(t)
     return sig, rows, nodes, edges, comps
 
