@@ -1,11 +1,12 @@
-"""Tokenizers as column expressions; only stemming and source code take a pandas UDF."""
+"""Tokenizers as column expressions; only stemming and source code take an Arrow UDF."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -93,29 +94,61 @@ def split_code(text: str) -> list[str]:
     return [m.lower() for m in _CODE.findall(text) if len(m.encode()) <= LONGEST]
 
 
-@F.pandas_udf(_TOKENS)
-def _source_code(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: None if t is None else split_code(t))
+#: Python has the objects of about so many tokens at a time, however many a batch has.
+_SLICE = 1 << 16
 
 
-@F.pandas_udf(_TOKENS)
-def _stem(c: pd.Series) -> pd.Series:
-    seen: dict[str, str] = {}
+def _lists(like: pa.Array, lengths: pa.Array, tokens: list[pa.Array]) -> pa.Array:
+    """Lists of the given lengths over the tokens, null where ``like`` is."""
+    ends = pc.cumulative_sum(lengths.fill_null(0)).to_numpy().astype("int32")
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), pa.array(ends)])
+    return pa.ListArray.from_arrays(offsets, pa.concat_arrays(tokens), mask=like.is_null())
 
-    def one(t: str) -> str:
-        if t not in seen:
-            seen[t] = stem(t)
-        return seen[t]
 
-    return c.map(lambda ts: None if ts is None else [one(t) for t in ts])
+def split_codes(texts: pa.Array) -> pa.Array:
+    """:func:`split_code` of each text, without Python objects for more than a slice of them."""
+    tokens, lengths, found = [], [], []
+    for t in texts:
+        of = split_code(t.as_py()) if t.is_valid else []
+        lengths.append(len(of))
+        found += of
+        if len(found) >= _SLICE:
+            tokens.append(pa.array(found, texts.type))
+            found = []
+    tokens.append(pa.array(found, texts.type))
+    return _lists(texts, pa.array(lengths, pa.int32()), tokens)
+
+
+def stems(lists: pa.Array) -> pa.Array:
+    """The stems of the tokens in each list, without Python objects for other than the different tokens of a slice."""
+    flat = lists.flatten()
+    tokens = [pa.array([], flat.type)]
+    for at in range(0, len(flat), _SLICE):
+        coded = flat.slice(at, _SLICE).dictionary_encode()
+        tokens.append(pa.array([None if t is None else stem(t) for t in coded.dictionary.to_pylist()], flat.type).take(coded.indices))
+    return _lists(lists, pc.list_value_length(lists), tokens)
+
+
+@F.arrow_udf(_TOKENS)
+def _source_code(c: pa.Array) -> pa.Array:
+    return split_codes(c)
+
+
+@F.arrow_udf(_TOKENS)
+def _stem(c: pa.Array) -> pa.Array:
+    return stems(c)
 
 
 def source_code_default(c: Column) -> Column:
     return _source_code(F.translate(c, _FOLD_FROM, _FOLD_TO))
 
 
+def stemmed(tokens: Column) -> Column:
+    return _stem(tokens)
+
+
 def en_stem(c: Column) -> Column:
-    return _stem(default(c))
+    return stemmed(default(c))
 
 
 def multilang_default(c: Column) -> Column:
